@@ -6,27 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as fv
-from matchloom.functions.text import first_match, literal_map, squash
+from matchloom.functions.text import first_match, let, literal_map, squash
 
 
 def parse_date(c: Column | str) -> Column:
     """Fixed list of formats; anything else stays as written."""
-    text = squash(c)
+    return let(squash(c), _parse)
+
+
+def _parse(text: Column) -> Column:
     name = r"([A-Za-z]{3,9})\.?"
     year = "([0-9]{4})"
+    month_no = literal_map({m: "%02d" % (i + 1) for i, m in enumerate(fv.MONTHS)})
 
     def named(pattern: str, month_group: int, year_group: int) -> Column:
-        month = F.element_at(
-            literal_map({m: "%02d" % (i + 1) for i, m in enumerate(fv.MONTHS)}),
-            F.substring(F.lower(first_match(text, pattern, month_group)), 1, 3),
-        )
-        return F.when(text.rlike(pattern) & month.isNotNull(), F.concat_ws("-", first_match(text, pattern, year_group), month))
+        month = F.element_at(month_no, F.substring(F.lower(first_match(text, pattern, month_group)), 1, 3))
+        # concat (unlike concat_ws) is null when the month is not one
+        return F.when(text.rlike(pattern), F.concat(first_match(text, pattern, year_group), F.lit("-"), month))
 
     def numeric(pattern: str, month_group: int, year_group: int) -> Column:
-        month = first_match(text, pattern, month_group).try_cast("int")
+        month = F.lpad(first_match(text, pattern, month_group), 2, "0")
         return F.when(
-            text.rlike(pattern) & month.between(1, 12),
-            F.concat_ws("-", first_match(text, pattern, year_group), F.lpad(month.cast("string"), 2, "0")),
+            text.rlike(pattern) & month.between("01", "12"),
+            F.concat(first_match(text, pattern, year_group), F.lit("-"), month),
         )
 
     return F.coalesce(
@@ -45,13 +47,16 @@ def parse_date(c: Column | str) -> Column:
 
 def month_index(c: Column | str, as_of: int) -> Column:
     """year * 12 + month; a bare year counts as January; 'Present' is the given month; else null."""
-    text = F.col(c) if isinstance(c, str) else c
-    year = F.substring(text, 1, 4).try_cast("int")
-    return (
-        F.when(text == "Present", F.lit(as_of))
-        .when(text.rlike("^[0-9]{4}$"), year * 12 + 1)
-        .when(text.rlike("^[0-9]{4}-[0-9]{2}$"), year * 12 + F.substring(text, 6, 2).try_cast("int"))
-    )
+
+    def index(text: Column) -> Column:
+        year = F.substring(text, 1, 4).try_cast("int")
+        return (
+            F.when(text == "Present", F.lit(as_of))
+            .when(text.rlike("^[0-9]{4}$"), year * 12 + 1)
+            .when(text.rlike("^[0-9]{4}-[0-9]{2}$"), year * 12 + F.substring(text, 6, 2).try_cast("int"))
+        )
+
+    return let(F.col(c) if isinstance(c, str) else c, index)
 
 
 def split_range(start: Column, end: Column, mode: str = "safe") -> tuple[Column, Column]:
@@ -74,15 +79,43 @@ def split_range(start: Column, end: Column, mode: str = "safe") -> tuple[Column,
     return new_start, new_end
 
 
-def tidy_range(start: Column, end: Column, months: Column, as_of: int) -> tuple[Column, Column]:
-    """(end, duration): an inverted range ends at 'Present'; given months win; else the distance, not below 0."""
-    s, e = month_index(start, as_of), month_index(end, as_of)
-    inverted = F.coalesce(e < s, F.lit(False))
-    new_end = F.when(inverted, F.lit("Present")).otherwise(end)
-    final = F.when(inverted, F.lit(as_of)).otherwise(e)
-    given = F.coalesce(months, F.lit(0))
-    span = F.when(final >= s, final - s).otherwise(F.lit(0))
-    return new_end, F.when(given != 0, given).otherwise(F.coalesce(span, F.lit(0))).cast("int")
+def tidy_range(start: Column, end: Column, months: Column, as_of: int) -> Column:
+    """struct(end_date, duration_months): an inverted range ends at 'Present'; given months win; else the distance."""
+
+    def close(r: Column) -> Column:
+        inverted = F.coalesce(r["e"] < r["s"], F.lit(False))
+        final = F.when(inverted, F.lit(as_of)).otherwise(r["e"])
+        span = F.when(final >= r["s"], final - r["s"]).otherwise(F.lit(0))
+        return F.struct(
+            F.when(inverted, F.lit("Present")).otherwise(r["end"]).alias("end_date"),
+            F.when(r["given"] != 0, r["given"]).otherwise(F.coalesce(span, F.lit(0))).cast("int").alias("duration_months"),
+        )
+
+    return let(
+        F.struct(
+            month_index(start, as_of).alias("s"), month_index(end, as_of).alias("e"), end.alias("end"),
+            F.coalesce(months, F.lit(0)).alias("given"),
+        ),
+        close,
+    )
+
+
+def tidy_entry(start: Column, end: Column, months: Column, as_of: int, mode: str = "safe") -> Column:
+    """struct(start_date, end_date, duration_months) of one experience entry, every step evaluated once per row."""
+
+    def dated(raw: Column) -> Column:
+        s, e = split_range(raw["s"], raw["e"], mode)
+        return F.struct(parse_date(s).alias("s"), parse_date(e).alias("e"))
+
+    def whole(r: Column) -> Column:
+        return let(
+            tidy_range(r["s"], r["e"], months, as_of),
+            lambda t: F.struct(
+                r["s"].alias("start_date"), t["end_date"].alias("end_date"), t["duration_months"].alias("duration_months")
+            ),
+        )
+
+    return let(let(F.struct(start.alias("s"), end.alias("e")), dated), whole)
 
 
 def role_weight(title: Column) -> Column:

@@ -179,9 +179,19 @@ def compact(c: Column | str, limit: int = 240) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it inside lambdas (which would otherwise repeat it per element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def distinct_ignoring_case(values: Column) -> Column:
-    keys = F.transform(values, F.lower)
-    return F.filter(values, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    def first_of_each(v: Column) -> Column:
+        return let(
+            F.transform(v, F.lower),
+            lambda keys: F.filter(v, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1),
+        )
+
+    return let(values, first_of_each)
 
 
 def unique_compact(values: Column, limit: int = 160) -> Column:
@@ -191,14 +201,17 @@ def unique_compact(values: Column, limit: int = 160) -> Column:
 
 def sentence_join(values: Column, limit: int = 2) -> Column:
     """'a', 'a; and b', 'a; b; and c'."""
-    u = unique_compact(F.slice(values, 1, limit))
-    n = F.size(u)
-    head = F.array_join(F.slice(u, 1, F.greatest(n - 1, F.lit(1))), "; ")
-    return (
-        F.when(n == 0, F.lit(""))
-        .when(n == 1, F.get(u, F.lit(0)))
-        .otherwise(F.concat(head, F.lit("; and "), F.get(u, n - 1)))
-    )
+
+    def join(u: Column) -> Column:
+        n = F.size(u)
+        head = F.array_join(F.slice(u, 1, F.greatest(n - 1, F.lit(1))), "; ")
+        return (
+            F.when(n == 0, F.lit(""))
+            .when(n == 1, F.get(u, F.lit(0)))
+            .otherwise(F.concat(head, F.lit("; and "), F.get(u, n - 1)))
+        )
+
+    return let(unique_compact(F.slice(values, 1, limit)), join)
 
 
 def scrub_pii(c: Column | str) -> Column:
