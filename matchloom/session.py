@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,11 +21,20 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see; a temporary one only where the cluster names none, as in local tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        context = spark.sparkContext
+        folder = context.getCheckpointDir()
+        if folder is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+            folder = context.getCheckpointDir()
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives lost executors and the lineage behind it is gone."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        # The shared folder of the cluster; a temporary one only where none is set, as in local tests.
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    """Write once, read back: survives lost executors, ends the lineage, and gives later joins true sizes."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
