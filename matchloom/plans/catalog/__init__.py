@@ -6,7 +6,7 @@ from importlib import import_module
 
 from matchloom.plans import registry
 
-TOPICS = ["text", "tenure"]
+TOPICS = ["text", "tenure", "matching"]
 
 
 def load():

@@ -19,8 +19,7 @@ from matchloom.functions import text as tx
 from matchloom.operators import clustering, evidence as ev, similarity as sm, tenure as tn
 from matchloom.session import cut
 
-JOB_TERMS = ["required", "preferred", "keywords", "domain_ref", "context", "education_ref", "certificate_ref"]
-HIT = "struct<sim: double, term: string>"
+JOB_TERMS = ["required", "preferred", "keywords", "domain_own", "context", "education_ref", "certificate_ref"]
 
 
 def job_terms(jobs: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
@@ -40,7 +39,7 @@ def job_terms(jobs: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
         "job_id", "title", "min_years_experience", "budget", "keywords", "education_ref", "certificate_ref", "target_level",
         tx.normal_set(F.col("must")).alias("required"), tx.normal_set(F.col("nice")).alias("preferred"),
         tx.normal_set(F.concat("must", "nice", "domain_keywords", "keywords", title_terms, duties)).alias("context"),
-        F.concat(tx.normal_set(F.concat("domain_keywords", "must", "nice")), F.col("keywords")).alias("domain_ref"),
+        tx.normal_set(F.concat("domain_keywords", "must", "nice")).alias("domain_own"),
     )
 
 
@@ -48,7 +47,7 @@ def job_profiles(terms: DataFrame, pairs: DataFrame, cfg: MatchConfig = DEFAULT)
     """Adds required clusters, preferred labels and domain centres (all sorted)."""
     kinds = F.array(*[
         F.struct(F.lit(k).alias("kind"), F.array_distinct(c).alias("terms"))
-        for k, c in [("required", "required"), ("preferred", "preferred"), ("domain", "domain_ref")]
+        for k, c in [("required", "required"), ("preferred", "preferred"), ("domain", F.concat("domain_own", "keywords"))]
     ])
     items = terms.select("job_id", F.explode(kinds).alias("k")).select(
         "job_id", "k.kind", F.posexplode("k.terms").alias("pos", "term")
@@ -114,33 +113,55 @@ def candidate_terms(
     return Candidates(people, entries, led, terms)
 
 
+KINDS = ["skill", "domain", "centre", "certificate", "keyword", "education"]
+
+
 def best_matches(terms: DataFrame, pairs: DataFrame, floor: float) -> DataFrame:
-    """(candidate_id, kind, query) -> best sim and term; the alphabetically first of equals."""
-    hits = terms.join(pairs.withColumnRenamed("r", "term"), "term").where(F.col("sim") >= floor)
-    best = F.min(F.struct((-F.col("sim")).alias("n"), "term"))
-    return hits.groupBy("candidate_id", "kind", F.col("l").alias("query")).agg(best.alias("b")).select(
-        "candidate_id", "kind", "query", (-F.col("b.n")).alias("sim"), F.col("b.term").alias("term")
+    """(candidate_id, query) -> best (n = -sim, term) per kind; the alphabetically first of equals.
+
+    A term of several kinds is joined once. Rows are brought together by candidate before the join widens them, so
+    the aggregation behind it combines in place; one candidate holds each distinct term once.
+    """
+    flags = [F.max(F.col("kind") == k).alias(f"is_{k}") for k in KINDS]
+    own = terms.where("kind <> 'explicit'").groupBy("candidate_id", "term").agg(*flags).repartition("candidate_id")
+    hits = own.join(pairs.withColumnRenamed("r", "term"), "term").where(F.col("sim") >= floor)
+    best = F.struct((-F.col("sim")).alias("n"), "term")
+    return hits.groupBy("candidate_id", F.col("l").alias("query")).agg(
+        *[F.min(F.when(F.col(f"is_{k}"), best)).alias(k) for k in KINDS]
     )
 
 
 def candidate_profiles(c: Candidates, pairs: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
-    """One row per candidate: maps from job term to best match per kind of term, evidence, tenure and flags."""
-    hits = best_matches(c.terms.where("kind <> 'explicit'"), pairs, cfg.floor)
-
-    def hit_map(kind: str) -> Column:
-        entry = F.when(F.col("kind") == kind, F.struct("query", F.struct("sim", "term")))
-        return F.map_from_entries(F.collect_list(entry))
-
-    kinds = ["skill", "domain", "centre", "certificate", "keyword", "education"]
-    maps = hits.groupBy("candidate_id").agg(*[hit_map(k).alias(f"{k}_hits") for k in kinds])
+    """One row per candidate: matched job terms per kind of own term, evidence, tenure and flags."""
+    hits = best_matches(c.terms, pairs, cfg.floor)
+
+    def hit_map(kind: str, least: float) -> Column:
+        entry = F.struct("query", F.struct((-F.col(kind)["n"]).alias("sim"), F.col(kind)["term"].alias("term")))
+        return F.map_from_entries(F.collect_list(F.when(-F.col(kind)["n"] >= least, entry))).alias(f"{kind}_hits")
+
+    def credited(kind: str) -> list[Column]:
+        sim = -F.col(kind)["n"]
+        return [
+            F.collect_list(F.when(sim >= cfg.semantic, F.col("query"))).alias(f"{kind}_full"),
+            F.collect_list(F.when((sim >= cfg.partial) & (sim < cfg.semantic), F.col("query"))).alias(f"{kind}_half"),
+        ]
+
+    covers = ["domain", "certificate", "keyword", "education"]
+    lists = [f"{k}_{w}" for k in covers for w in ("full", "half")]
+    maps = hits.groupBy("candidate_id").agg(
+        hit_map("skill", cfg.floor), hit_map("centre", cfg.additional), *[x for k in covers for x in credited(k)]
+    )
+    near_row = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("n"), F.col("l").alias("query"))))
     near = (
-        c.terms.where("kind = 'explicit'").join(pairs.withColumnRenamed("r", "term"), "term")
-        .where(F.col("back") >= cfg.additional)
-        .groupBy("candidate_id", "term").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("n"), F.col("l").alias("query")))).alias("near"))
-        .groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("term", "near"))).alias("explicit_near"))
+        c.terms.where("kind = 'explicit'").select("candidate_id", "term").repartition("candidate_id")
+        .join(pairs.withColumnRenamed("r", "term"), "term").where(F.col("back") >= cfg.additional)
+        .groupBy("candidate_id", "term").agg(near_row.alias("near"))
+        .select("candidate_id", F.struct(
+            "term", F.transform("near", lambda x: x["query"]).alias("queries"), F.transform("near", lambda x: -x["n"]).alias("sims")).alias("e"))
+        .groupBy("candidate_id").agg(F.array_sort(F.collect_list("e")).alias("explicit_near"))
     )
     counts = c.terms.groupBy("candidate_id").agg(*[
-        (F.count(F.when(F.col("kind") == k, 1)) > 0).alias(f"has_{k}") for k in kinds
+        (F.count(F.when(F.col("kind") == k, 1)) > 0).alias(f"has_{k}") for k in KINDS
     ])
     weights = c.evidence.groupBy("candidate_id").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "cluster_weight"))).alias("weights"),
@@ -159,7 +180,8 @@ def candidate_profiles(c: Candidates, pairs: DataFrame, cfg: MatchConfig = DEFAU
     total_years = tn.years(F.col("weighted_tenths"), F.col("n_entries"), F.col("stated_years"))
     n_acts = F.col("n_own") + F.col("n_contribute")
     return out.select(
-        "candidate_id", "name", *[f"{k}_hits" for k in kinds], *[F.coalesce(f"has_{k}", F.lit(False)).alias(f"has_{k}") for k in kinds],
+        "candidate_id", "name", "skill_hits", "centre_hits", *[tx.empty_if_null(x).alias(x) for x in lists],
+        *[F.coalesce(f"has_{k}", F.lit(False)).alias(f"has_{k}") for k in KINDS],
         "explicit_near", "weights", F.coalesce("n_clusters", F.lit(0)).alias("n_clusters"),
         total_years.alias("years"), F.coalesce("peak_level", F.lit(0)).alias("peak_level"),
         F.coalesce("growth", F.lit(0.0)).alias("growth"), F.coalesce("intern_dominant", F.lit(False)).alias("intern_dominant"),
@@ -208,21 +230,29 @@ def preferred_details(cfg: MatchConfig = DEFAULT) -> Column:
         lambda h: _detail(c["canonical"], c["canonical"], h["term"], h["sim"], cfg.semantic)))
 
 
-def coverage(reference: str, hits: str, has_terms: str, cfg: MatchConfig = DEFAULT) -> Column:
-    """Mean credit of the best matches; nothing wanted is 1, nothing offered is 0."""
-    total = F.aggregate(reference, F.lit(0.0), lambda s, x: s + tx.let(
-        F.coalesce(_hit(hits, x)["sim"], F.lit(0.0)), lambda v: sm.credit(v, cfg)))
-    return F.when(F.size(reference) == 0, 1.0).when(~F.col(has_terms), 0.0).otherwise(total / F.size(reference))
+def coverage(reference: list[str], kind: str) -> Column:
+    """Mean credit of the best matches; nothing wanted is 1, nothing offered is 0.
+
+    ``reference`` names columns of distinct terms; a term in two of them counts twice.
+    """
+    wanted, credit = F.lit(0), F.lit(0.0)
+    for name in reference:
+        wanted = wanted + F.size(name)
+        credit = credit + F.size(F.array_intersect(name, f"{kind}_full")) + 0.5 * F.size(F.array_intersect(name, f"{kind}_half"))
+    return F.when(wanted == 0, 1.0).when(~F.col(f"has_{kind}"), 0.0).otherwise(credit / wanted)
 
 
 def additional_skills(excluded: Column, cfg: MatchConfig = DEFAULT) -> Column:
     """Listed skills that are close to the job's context, most similar first."""
 
     def best(e: Column) -> Column:
-        first = F.get(F.filter(e["near"], lambda o: F.array_contains(F.col("context"), o["query"])), F.lit(0))
-        return tx.let(first, lambda f: F.struct(
-            f["n"].alias("n"), e["term"].alias("resume_skill"), f["query"].alias("jd_context_match"),
-            tx.half_even(-f["n"], 3).alias("similarity")))
+        # the queries are sorted by similarity, and an intersection keeps the order of its left side
+        first = F.get(F.array_intersect(e["queries"], F.col("context")), F.lit(0))
+        return tx.let(first, lambda q: tx.let(
+            F.get(e["sims"], (F.array_position(e["queries"], q) - 1).cast("int")),
+            lambda sim: F.struct(
+                (-sim).alias("n"), e["term"].alias("resume_skill"), q.alias("jd_context_match"),
+                tx.half_even(sim, 3).alias("similarity"))))
 
     open_terms = F.filter("explicit_near", lambda e: ~F.array_contains(excluded, e["term"]) & (F.size(tx.skill_like(F.array(e["term"]))) > 0))
     found = F.filter(F.transform(open_terms, best), lambda x: x["n"].isNotNull())
@@ -230,10 +260,14 @@ def additional_skills(excluded: Column, cfg: MatchConfig = DEFAULT) -> Column:
         "array<struct<n: double, resume_skill: string, jd_context_match: string, similarity: double>>"))
 
 
-def domain_tags(cfg: MatchConfig = DEFAULT) -> Column:
-    hits = F.transform("domain_centres", lambda x: tx.let(_hit("centre_hits", x), lambda h: F.struct(
-        (-h["sim"]).alias("n"), x.alias("jd_domain_tag"), h["term"].alias("matched_resume_term"))))
-    return F.array_sort(F.filter(hits, lambda x: -x["n"] >= cfg.additional))
+def domain_tags() -> Column:
+    """Job domain centres with a close candidate centre, most similar first."""
+    hits = F.transform(
+        F.array_intersect("domain_centres", F.map_keys("centre_hits")),
+        lambda x: tx.let(_hit("centre_hits", x), lambda h: F.struct(
+            (-h["sim"]).alias("n"), x.alias("jd_domain_tag"), h["term"].alias("matched_resume_term"))),
+    )
+    return F.array_sort(hits)
 
 
 def pair_features(pairs: DataFrame, jobs: DataFrame, people: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
@@ -258,11 +292,11 @@ def pair_features(pairs: DataFrame, jobs: DataFrame, people: DataFrame, cfg: Mat
         "preferred_credit": F.aggregate(pref, F.lit(0.0), lambda s, d: s + sm.credit(d["similarity"], cfg) * d["weight"]),
         "proof": F.aggregate(req, F.lit(0.0), lambda s, d: s + F.when(d["is_match"], tx.half_even(d["weight"], 2)).otherwise(0.0)),
         "excluded": F.array_distinct(strong),
-        "domain_alignment": coverage("domain_ref", "domain_hits", "has_domain", cfg),
-        "domain_detection": F.coalesce(domain_tags(cfg), F.array().cast("array<struct<n: double, jd_domain_tag: string, matched_resume_term: string>>")),
-        "keyword_ratio": coverage("keywords", "keyword_hits", "has_keyword", cfg),
-        "education_cover": coverage("education_ref", "education_hits", "has_education", cfg),
-        "certificate_cover": coverage("certificate_ref", "certificate_hits", "has_certificate", cfg),
+        "domain_alignment": coverage(["domain_own", "keywords"], "domain"),
+        "domain_detection": F.coalesce(domain_tags(), F.array().cast("array<struct<n: double, jd_domain_tag: string, matched_resume_term: string>>")),
+        "keyword_ratio": coverage(["keywords"], "keyword"),
+        "education_cover": coverage(["education_ref"], "education"),
+        "certificate_cover": coverage(["certificate_ref"], "certificate"),
     })
     step = step.withColumn("additional_details", tx.let(F.col("excluded"), lambda x: additional_skills(x, cfg)))
     n_req, n_match = F.size("required_clusters"), F.size("matched")
@@ -380,7 +414,8 @@ def build_profiles(
     own_pairs = keep(sm.pair_table(own_words, own_words, cfg.clustering, ratio, graph))
     cands = candidate_terms(people, ranked, evidence, own_pairs, cfg)
     cands.terms = keep(cands.terms)
-    pairs = keep(sm.pair_table(job_words, sm.vocabulary(cands.terms.select("term")), cfg.floor, ratio, graph))
+    cand_words = keep(sm.vocabulary(cands.terms.select("term")))
+    pairs = keep(sm.pair_table(job_words, cand_words, cfg.floor, ratio, graph))
     profiles = keep(job_profiles(terms, own_pairs, cfg))
     return Profiles(profiles, keep(candidate_profiles(cands, pairs, cfg)), cands, pairs)
 
