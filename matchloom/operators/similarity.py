@@ -18,15 +18,18 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchloom.config import DEFAULT
 from matchloom.functions import text as tx
 
 FREQUENT_FIRST = " etaoinsrhldcumfpgwybvkjxqz"
-EMPTY_PAIRS = "l STRING, r STRING, sim DOUBLE, back DOUBLE"
 
 
-@F.pandas_udf("struct<sim double, back double>")
+BOTH_WAYS = T.StructType([T.StructField("sim", T.DoubleType()), T.StructField("back", T.DoubleType())])
+
+
+@F.pandas_udf(BOTH_WAYS)
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """Ratcliff-Obershelp ratio in both directions (it is not symmetric)."""
     sim = [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)]

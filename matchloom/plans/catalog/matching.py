@@ -11,7 +11,7 @@ from matchloom import fixed_values as fv
 from matchloom.config import DEFAULT as CFG
 from matchloom.functions import scores as sc
 from matchloom.functions import text as tx
-from matchloom.operators import ranking, similarity as sm, tenure as tn
+from matchloom.operators import explain, ranking, similarity as sm
 from matchloom.plans import scoring, sqltext as s
 from matchloom.plans.catalog import tenure as ct
 from matchloom.plans.catalog.text import KEYWORDS_SQL
@@ -57,7 +57,7 @@ def fold_sql(name: str, items: str, keys: str, pairs: str, threshold: float) ->
     ks = [k.strip() for k in keys.split(",")]
     on = " AND ".join(f"a.{k} = b.{k}" for k in ks)
     fk = ", ".join(f"f.{k}" for k in ks)
-    return f"""{name}_near AS (SELECT {', '.join('a.' + k for k in ks)}, a.term, a.i, coalesce(list(b.term ORDER BY sim DESC, b.i) FILTER (b.term IS NOT NULL), []) AS near
+    return f"""{name}_near AS MATERIALIZED (SELECT {', '.join('a.' + k for k in ks)}, a.term, a.i, coalesce(list(b.term ORDER BY sim DESC, b.i) FILTER (b.term IS NOT NULL), []) AS near
     FROM {items} a LEFT JOIN (SELECT b.*, l, sim FROM {items} b JOIN {pairs} p ON p.r = b.term AND p.l <> p.r AND sim >= {threshold}) b ON {on} AND b.l = a.term AND b.i < a.i GROUP BY ALL),
   {name}_fold AS (SELECT DISTINCT {keys}, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS leaders, '' AS term, '' AS leader FROM {items}
     UNION ALL SELECT {fk}, f.i + 1, CASE WHEN list_filter(t.near, lambda x: list_contains(f.leaders, x))[1] IS NULL THEN list_append(f.leaders, t.term) ELSE f.leaders END,
@@ -362,12 +362,12 @@ def score_budget(spark, sf):
 
 # ---- keys of the scored table --------------------------------------------------------------------------------------------
 
-def project(name: str, select: str, *columns):
-    """Register columns of the scored applications; ``select`` is the same list in SQL."""
+def project(name: str, select: str, columns):
+    """Register columns of the scored applications (a function that lists them); ``select`` is the same in SQL."""
 
     @query(name, chain("O_SCORE", f"SELECT job_id, candidate_id, {select} FROM o_scored"))
     def run(spark, sf):
-        return scored_table(spark, sf).select("job_id", "candidate_id", *columns)
+        return scored_table(spark, sf).select("job_id", "candidate_id", *columns())
 
     return run
 
@@ -383,32 +383,29 @@ def r6(name: str):
     return F.round(name, 6).alias(name)
 
 
-project("match_skills", "list_filter(matched, lambda x: true) AS matched, missing, critical", "matched", "missing", "critical")
-project("skills_score", "round(skill_ratio, 6) AS skill_ratio, skills_score", r6("skill_ratio"), "skills_score")
-project("bonus_caps", "additional_cap, domain_cap", "additional_cap", "domain_cap")
-project("experience_fit", "round(years_fit, 6) AS years_fit, round(seniority_fit, 6) AS seniority_fit", r6("years_fit"), r6("seniority_fit"))
-project("experience_score", "experience_score", "experience_score")
-project("education_score", "round(education_fit, 6) AS education_fit, education_score", r6("education_fit"), "education_score")
-project("keyword_score", "round(keyword_ratio, 6) AS keyword_ratio, keyword_score", r6("keyword_ratio"), "keyword_score")
-project("completeness", "round(completeness, 6) AS completeness, completeness_score", r6("completeness"), "completeness_score")
-project("total_score", "additional_bonus, domain_bonus, total_score", "additional_bonus", "domain_bonus", "total_score")
-project("confidence", "confidence_score", "confidence_score")
-project("risk", "risk_score", "risk_score")
-project("proof_ratio", "round(proof_ratio, 6) AS proof_ratio", r6("proof_ratio"))
-project("semantic_coverage", "round(domain_alignment, 6) AS domain, round(keyword_ratio, 6) AS keywords", F.round("domain_alignment", 6).alias("domain"), F.round("keyword_ratio", 6).alias("keywords"))
-project("domain_alignment", "round(domain_alignment, 6) AS domain_alignment", r6("domain_alignment"))
-project("additional_skills", "additional", "additional")
-project("domain_tags", "tags", "tags")
-project("excluded_terms", "list_sort(excluded) AS excluded", F.array_sort("excluded").alias("excluded"))
+project("match_skills", "list_filter(matched, lambda x: true) AS matched, missing, critical", lambda: ["matched", "missing", "critical"])
+project("skills_score", "round(skill_ratio, 6) AS skill_ratio, skills_score", lambda: [r6("skill_ratio"), "skills_score"])
+project("bonus_caps", "additional_cap, domain_cap", lambda: ["additional_cap", "domain_cap"])
+project("experience_fit", "round(years_fit, 6) AS years_fit, round(seniority_fit, 6) AS seniority_fit", lambda: [r6("years_fit"), r6("seniority_fit")])
+project("experience_score", "experience_score", lambda: ["experience_score"])
+project("education_score", "round(education_fit, 6) AS education_fit, education_score", lambda: [r6("education_fit"), "education_score"])
+project("keyword_score", "round(keyword_ratio, 6) AS keyword_ratio, keyword_score", lambda: [r6("keyword_ratio"), "keyword_score"])
+project("completeness", "round(completeness, 6) AS completeness, completeness_score", lambda: [r6("completeness"), "completeness_score"])
+project("total_score", "additional_bonus, domain_bonus, total_score", lambda: ["additional_bonus", "domain_bonus", "total_score"])
+project("confidence", "confidence_score", lambda: ["confidence_score"])
+project("risk", "risk_score", lambda: ["risk_score"])
+project("proof_ratio", "round(proof_ratio, 6) AS proof_ratio", lambda: [r6("proof_ratio")])
+project("semantic_coverage", "round(domain_alignment, 6) AS domain, round(keyword_ratio, 6) AS keywords", lambda: [F.round("domain_alignment", 6).alias("domain"), F.round("keyword_ratio", 6).alias("keywords")])
+project("domain_alignment", "round(domain_alignment, 6) AS domain_alignment", lambda: [r6("domain_alignment")])
+project("additional_skills", "additional", lambda: ["additional"])
+project("domain_tags", "tags", lambda: ["tags"])
+project("excluded_terms", "list_sort(excluded) AS excluded", lambda: [F.array_sort("excluded").alias("excluded")])
 _pct = "CAST(round_even(least(greatest({0} / b[{1}]::DOUBLE, 0), 1.0) * 100, 0) AS INT) AS {2}".format
 project("decision", f"{_pct('skills_score', 1, 'skill_percent')}, {_pct('experience_score', 2, 'experience_percent')}, {_pct('education_score', 3, 'education_percent')}, "
-        f"{_pct('completeness_score', 5, 'completeness_percent')}, CASE WHEN total_score >= 80 THEN 'SHORTLISTED' ELSE 'REJECTED' END AS decision",
-        *[sc.percent(F.col(f"{k}_score"), F.col(f"budget.{k}")).alias(f"{n}_percent") for k, n in [("skills", "skill"), ("experience", "experience"), ("education", "education"), ("completeness", "completeness")]],
-        sc.decision(F.col("total_score")).alias("decision"))
-project("fit_band", "CASE WHEN total_score >= 80 AND risk_score <= 45 THEN 'strong' WHEN total_score >= 60 THEN 'moderate' WHEN total_score >= 40 THEN 'partial' ELSE 'limited' END AS fit_band",
-        sc.fit_band(F.col("total_score"), F.col("risk_score")).alias("fit_band"))
+        f"{_pct('completeness_score', 5, 'completeness_percent')}, CASE WHEN total_score >= 80 THEN 'SHORTLISTED' ELSE 'REJECTED' END AS decision", lambda: [*[sc.percent(F.col(f"{k}_score"), F.col(f"budget.{k}")).alias(f"{n}_percent") for k, n in [("skills", "skill"), ("experience", "experience"), ("education", "education"), ("completeness", "completeness")]], sc.decision(F.col("total_score")).alias("decision")])
+project("fit_band", "CASE WHEN total_score >= 80 AND risk_score <= 45 THEN 'strong' WHEN total_score >= 60 THEN 'moderate' WHEN total_score >= 40 THEN 'partial' ELSE 'limited' END AS fit_band", lambda: [sc.fit_band(F.col("total_score"), F.col("risk_score")).alias("fit_band")])
 _SCORES = ["skills_score", "experience_score", "education_score", "keyword_score", "completeness_score", "total_score", "confidence_score", "risk_score"]
-project("score_pairs_lexical", ", ".join(_SCORES) + ", matched, missing, additional, tags", *_SCORES, "matched", "missing", "additional", "tags")
+project("score_pairs_lexical", ", ".join(_SCORES) + ", matched, missing, additional, tags", lambda: [*_SCORES, "matched", "missing", "additional", "tags"])
 
 _one = "CAST(round_even({}, 1) AS VARCHAR)".format
 STRENGTHS_SQL = f"""list_filter([CASE WHEN n_matched > 0 THEN 'Matched required skills: ' || array_to_string(matched[:5], ', ') END,
@@ -423,9 +420,9 @@ RISKS_SQL = f"""list_filter([CASE WHEN n_critical > 0 THEN 'Critical skill gaps:
   CASE WHEN completeness < 0.5 THEN 'Resume is missing key profile details' END, CASE WHEN domain_alignment < 0.4 THEN 'Domain evidence in experience appears limited' END,
   CASE WHEN n_bullets > 3 AND n_quantified::DOUBLE / n_bullets < 0.1 THEN 'Experience highlights lack quantified outcomes — probe for measurable impact in interview' END,
   CASE WHEN n_bullets > 0 AND ownership <= 0.2 THEN 'Contributor-heavy language — may not have driven outcomes independently' END], lambda x: x IS NOT NULL)"""
-project("strengths_risks", f"{STRENGTHS_SQL} AS strengths, {RISKS_SQL} AS risks", "strengths", "risks")
+project("strengths_risks", f"{STRENGTHS_SQL} AS strengths, {RISKS_SQL} AS risks", lambda: ["strengths", "risks"])
 project("feedback", f"name || ' was scored for ' || title || ' with a total score of ' || total_score || '/100. ' || array_to_string(CASE WHEN len(n2) = 0 THEN ['Profile was processed successfully but surfaced limited structured evidence.'] ELSE n2 END, ' ') AS feedback "
-        .replace("n2", f"list_concat(({STRENGTHS_SQL})[:2], ({RISKS_SQL})[:2])"), F.lit(None).cast("string").alias("feedback"))
+        .replace("n2", f"list_concat(({STRENGTHS_SQL})[:2], ({RISKS_SQL})[:2])"), lambda: [explain.recruiter_feedback().alias("feedback")])
 
 
 @query("required_match", chain("O_DETAILS", "SELECT job_id, candidate_id, jd_skill, member, matched_skill, similarity, is_match, round(weight, 6) AS weight FROM o_details WHERE kind = 'required'"))
