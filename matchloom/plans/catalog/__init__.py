@@ -6,7 +6,7 @@ from importlib import import_module
 
 from matchloom.plans import registry
 
-TOPICS = ["text", "tenure", "matching", "explain"]
+TOPICS = ["text", "tenure", "matching", "explain", "extract", "intake"]
 
 
 def load():
