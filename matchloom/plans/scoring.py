@@ -82,16 +82,12 @@ class Candidates:
     terms: DataFrame  # candidate_id, kind, term
 
 
-def candidate_vocabulary(people: DataFrame, entries: DataFrame, evidence: DataFrame) -> DataFrame:
-    return sm.vocabulary(ev.domain_terms(people, entries, evidence).select("term"))
-
-
 def candidate_terms(
-    people: DataFrame, entries: DataFrame, evidence: DataFrame, pairs: DataFrame, cfg: MatchConfig = DEFAULT
+    people: DataFrame, entries: DataFrame, evidence: DataFrame, domain: DataFrame, pairs: DataFrame,
+    cfg: MatchConfig = DEFAULT,
 ) -> Candidates:
     """Clusters the evidence and lists every term a candidate can be matched by."""
     led = ev.cluster_evidence(clustering.leaders(evidence, pairs, ["candidate_id"], cfg.clustering))
-    domain = ev.domain_terms(people, entries, evidence)
     centres = clustering.leaders(domain.withColumn("pos", F.col("term")), pairs, ["candidate_id"], cfg.clustering)
     own = {
         "explicit": tx.normal_set(F.concat("skills", "tools")),
@@ -406,19 +402,31 @@ def build_profiles(
     are checkpointed, so that they are computed once and a lost executor does not replay the whole lineage.
     """
     keep = cut if reliable else (lambda df: df)
+    people = keep(people)
     ranked = keep(tn.ordered(entries, cfg))
     evidence = keep(ev.skill_evidence(people, ranked))
     terms = keep(job_terms(jobs, cfg))
     job_words = keep(sm.vocabulary(*[terms.select(c) for c in JOB_TERMS]))
-    own_words = keep(sm.vocabulary(job_words, candidate_vocabulary(people, ranked, evidence)))
+    domain = keep(ev.domain_terms(people, ranked, evidence))
+    own_words = keep(sm.vocabulary(job_words, domain.select("term")))
     own_pairs = keep(sm.pair_table(own_words, own_words, cfg.clustering, ratio, graph))
-    cands = candidate_terms(people, ranked, evidence, own_pairs, cfg)
-    cands.terms = keep(cands.terms)
+    cands = candidate_terms(people, ranked, evidence, domain, own_pairs, cfg)
+    cands.evidence, cands.terms = keep(cands.evidence), keep(cands.terms)
     cand_words = keep(sm.vocabulary(cands.terms.select("term")))
     pairs = keep(sm.pair_table(job_words, cand_words, cfg.floor, ratio, graph))
     profiles = keep(job_profiles(terms, own_pairs, cfg))
     return Profiles(profiles, keep(candidate_profiles(cands, pairs, cfg)), cands, pairs)
 
 
+# profile columns that the scores were made from; a result row does not carry them along
+INPUT_ONLY = [
+    "skill_hits", "centre_hits", "explicit_near", "weights", "context", "domain_own", "domain_centres", "keywords",
+    "education_ref", "certificate_ref", "required", "preferred", "responsibilities", "domain_keywords",
+    *[f"{k}_{w}" for k in ("domain", "certificate", "keyword", "education") for w in ("full", "half")],
+    *[f"has_{k}" for k in KINDS],
+]
+
+
 def score_pairs(pairs: DataFrame, profiles: Profiles, cfg: MatchConfig = DEFAULT) -> DataFrame:
-    return narratives(score_features(pair_features(pairs, profiles.jobs, profiles.people, cfg), cfg))
+    """One row per distinct (job, candidate) pair with scores, matched terms, details and narratives."""
+    return narratives(score_features(pair_features(pairs, profiles.jobs, profiles.people, cfg), cfg)).drop(*INPUT_ONLY)
