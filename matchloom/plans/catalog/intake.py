@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -157,7 +157,7 @@ def export_json(spark, sf):
 
 def _stream(spark, sf, deliveries: int):
     """Write the applications as files (each ``deliveries`` times), replay them through the stream, return the log."""
-    base = f"{shared_folder(spark)}/stream/{tempfile.mktemp(prefix='run-', dir='')}"
+    base = f"{shared_folder(spark)}/stream/{uuid.uuid4().hex}"
     for n in range(deliveries):
         views.applications(spark, sf).where("job_id IS NOT NULL").write.parquet(f"{base}/in/part{n}")
     profiles = m.profiles(spark, sf)
