@@ -6,7 +6,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,8 +74,14 @@ def open_file(uri: str) -> "pa.NativeFile":
     return system.open_input_file(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices, so that a task holds a bounded number of whole texts as Python objects."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 2 << 20, of: str = "text") -> Iterator[pa.RecordBatch]:
+    """Zero-copy slices of at most so many rows and about so many bytes of text (one row at least), so that a task
+    works on a bounded piece of its input at a time."""
     for batch in batches:
-        for start in range(0, batch.num_rows, size):
-            yield batch.slice(start, size)
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(of)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(total[start - 1]) if start else 0
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(total, before + size, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
