@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import byte_bpe, ngram_join, token_counts
+from matchloom.llm import byte_bpe, ngram_join, token_counts, token_file, warc
 from matchloom.sources.tables import table
 
 WORD_BPE, MULTI_BPE = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
@@ -35,3 +35,25 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=2)
+
+
+ORACLES["op10_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+     q AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+     r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS holder FROM q)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN holder END AS refers_to
+FROM r
+"""
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=1000)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
