@@ -71,9 +71,9 @@ def powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (run of other than ASCII white space) of the texts in a batch, and the bounds of each text."""
-    column = batch.column("text").cast(pa.large_string())
+def words_of(column: pa.Array, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word (run of bytes other than spaces) of an array of texts, and the bounds of each text."""
+    column = column.cast(pa.large_string())
     if not column.null_count == 0:
         column = column.fill_null("")
     _, at, data = column.buffers()
@@ -81,7 +81,7 @@ def words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     low, high = int(at[0]), int(at[-1])
     raw = np.frombuffer(data, np.uint8)[low:high] if data is not None and high > low else np.zeros(0, np.uint8)
     at = at - low
-    inside = ~SPACES[raw]
+    inside = ~spaces[raw]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     first = at[:-1][at[:-1] < len(raw)]
@@ -100,7 +100,7 @@ def words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def shingles(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text) of every distinct n-gram in order of text and hash, and the number per text. A text of fewer words
     has one n-gram, all its words; a text without words has none."""
-    hashes, bounds = words_of(batch)
+    hashes, bounds = words_of(batch.column("text"))
     n = np.diff(bounds)
     grams = np.maximum(n - words + 1, (n > 0).astype(n.dtype))
     owner = np.repeat(np.arange(len(n)), grams)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import byte_bpe, ngram_join, token_counts, token_file, warc
+from matchloom.llm import byte_bpe, decontaminate, ngram_join, token_counts, token_file, warc
 from matchloom.sources.tables import table
 
 WORD_BPE, MULTI_BPE = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,11 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=2)
 
 
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLES["op10_warc"] = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
      q AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
