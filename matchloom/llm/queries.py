@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import byte_bpe, decontaminate, ngram_join, quality, token_counts, token_file, url_filter, warc
+from matchloom.llm import byte_bpe, decontaminate, html_extract, license_scan, ngram_join, quality, token_counts, token_file, url_filter, warc
 from matchloom.sources.tables import table
 
 WORD_BPE, MULTI_BPE, PIECES = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -60,11 +60,21 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+@query
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=2)
 
 
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licences(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
