@@ -22,7 +22,6 @@ class MatchConfig:
     max_file_bytes: int = 10 * 1024 * 1024
     as_of: str = "2024-01"  # what "Present" means; always explicit so that reruns agree
     rank_bucket: int = 100_000  # ids per bucket when one huge group has to be ordered
-    chunk_segment: int = 256  # paragraphs per row when a document is assembled
 
     @property
     def floor(self) -> float:

@@ -15,8 +15,9 @@ def latest_log(log: DataFrame) -> DataFrame:
 
 
 def pending(applications: DataFrame, log: DataFrame, status: str = "APPLIED") -> DataFrame:
-    """Due: right status, not processed, and no finished SCORE log (a failed one is tried again)."""
-    done = latest_log(log).where("log_status <> 'FAILED'").select("application_id")
+    """Due: right status, not processed, and no finished SCORE log. Only FAILED, in any case of letters, is unfinished; a
+    log without a status is a success."""
+    done = latest_log(log).where("upper(coalesce(log_status, '')) <> 'FAILED'").select("application_id")
     due = applications.where((F.col("status") == status) & ~F.coalesce("processed", F.lit(False)))
     return due.join(done, "application_id", "left_anti")
 
@@ -70,15 +71,16 @@ def outcome_rows(resolved: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def log_rows(results: DataFrame, created_at, created_by: str = "ats-worker") -> DataFrame:
-    """Score log rows; FAILED and DELETED keep their own status."""
-    status = F.when(F.col("decision").isin("FAILED", "DELETED"), F.col("decision")).otherwise("DONE")
+    """Score log rows; FAILED and DELETED keep their own status, a success has a decision and none."""
+    status = F.when(F.col("decision").isin("FAILED", "DELETED"), F.col("decision"))
     return results.select(
         "application_id", "candidate_id", "job_id", F.lit("SCORE").alias("stage"), "score", status.alias("status"), "decision",
         F.lit(created_by).alias("created_by"), created_at.alias("created_at"))
 
 
 def upsert(applications: DataFrame, results: DataFrame, processed_at) -> DataFrame:
-    """New snapshot of the applications: fresh results replace old ones, all else stays."""
+    """New snapshot of the applications: fresh results replace old ones, all else stays. Every outcome marks its
+    application as processed, FAILED and DELETED as well, so that nothing is retried for ever."""
     r = results.select("application_id", F.col("score").alias("_s"), F.col("decision").alias("_d"))
     a = applications
     for name, kind in [("ats_score", "int"), ("ats_decision", "string"), ("processed_at", "timestamp")]:

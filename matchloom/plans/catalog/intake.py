@@ -53,13 +53,13 @@ def page_cap(spark, sf):
     return intake.cap_pages(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
 
 
-@query("assemble_chunks", f"SELECT conv_id, CAST(turn // {CFG.chunk_segment} AS BIGINT) AS segment, string_agg(t, chr(10) ORDER BY turn) AS text FROM (SELECT conv_id, turn, regexp_replace(text, {s.rx('^' + s.WS + '+|' + s.WS + '+$')}, '', 'g') AS t FROM conversations) WHERE t <> '' GROUP BY 1, 2")
+@query("assemble_chunks", f"SELECT conv_id, string_agg(t, chr(10) ORDER BY turn) AS text FROM (SELECT conv_id, turn, regexp_replace(text, {s.rx('^' + s.WS + '+|' + s.WS + '+$')}, '', 'g') AS t FROM conversations) WHERE t <> '' GROUP BY 1")
 def assemble_chunks(spark, sf):
     return intake.assemble(table(spark, sf, "conversations"), "conv_id", "turn", "text")
 
 
-PENDING = """h_latest AS (SELECT application_id, list(status ORDER BY created_at DESC, status DESC)[1] AS log_status FROM h_log WHERE stage = 'SCORE' GROUP BY 1),
-h_pending AS (SELECT * FROM h_applications WHERE status = 'APPLIED' AND NOT processed AND application_id NOT IN (SELECT application_id FROM h_latest WHERE log_status <> 'FAILED'))"""
+PENDING = """h_latest AS (SELECT application_id, list(status ORDER BY created_at DESC, status DESC NULLS LAST)[1] AS log_status FROM h_log WHERE stage = 'SCORE' GROUP BY 1),
+h_pending AS (SELECT * FROM h_applications WHERE status = 'APPLIED' AND NOT processed AND application_id NOT IN (SELECT application_id FROM h_latest WHERE upper(coalesce(log_status, '')) <> 'FAILED'))"""
 
 
 @query("pending_apps", s.with_(s.H_APPLICATIONS, s.H_LOG, PENDING) + "SELECT application_id, candidate_id, job_id FROM h_pending")
@@ -117,15 +117,14 @@ def outcomes(spark, sf):
     return results(spark, sf).drop("job_id")
 
 
-@query("score_log_rows", chain("SELECT application_id, candidate_id, 'SCORE' AS stage, score, CASE WHEN decision IN ('FAILED', 'DELETED') THEN decision ELSE 'DONE' END AS status, decision, 'ats-worker' AS created_by FROM o_results"))
+@query("score_log_rows", chain("SELECT application_id, candidate_id, 'SCORE' AS stage, score, CASE WHEN decision IN ('FAILED', 'DELETED') THEN decision END AS status, decision, 'ats-worker' AS created_by FROM o_results"))
 def score_log_rows(spark, sf):
     return pn.log_rows(results(spark, sf), F.current_timestamp()).drop("created_at", "job_id")
 
 
-@query("upsert_results", chain("SELECT application_id, a.status, CASE WHEN r.decision = 'FAILED' THEN NULL ELSE r.score END AS ats_score, CASE WHEN r.decision = 'FAILED' THEN NULL ELSE r.decision END AS ats_decision, r.decision <> 'FAILED' OR a.processed AS processed FROM h_applications a JOIN o_results r USING (application_id)"))
+@query("upsert_results", chain("SELECT application_id, a.status, r.score AS ats_score, r.decision AS ats_decision, true AS processed FROM h_applications a JOIN o_results r USING (application_id)"))
 def upsert_results(spark, sf):
-    fresh = results(spark, sf).where("decision <> 'FAILED'")
-    out = pn.upsert(views.applications(spark, sf), fresh, F.current_timestamp())
+    out = pn.upsert(views.applications(spark, sf), results(spark, sf), F.current_timestamp())
     return out.select("application_id", "status", "ats_score", "ats_decision", "processed")
 
 
@@ -159,7 +158,7 @@ def _stream(spark, sf, deliveries: int):
     """Write the applications as files (each ``deliveries`` times), replay them through the stream, return the log."""
     base = f"{shared_folder(spark)}/stream/{uuid.uuid4().hex}"
     for n in range(deliveries):
-        views.applications(spark, sf).where("job_id IS NOT NULL").write.parquet(f"{base}/in/part{n}")
+        views.applications(spark, sf).write.parquet(f"{base}/in/part{n}")
     profiles = m.profiles(spark, sf)
     from matchloom.plans import scoring
 
@@ -169,13 +168,13 @@ def _stream(spark, sf, deliveries: int):
         totals = scoring.score_features(scoring.pair_features(ready, profiles.jobs, profiles.people))
         return pn.outcome_rows(found, totals.withColumn("decision", sc.decision(F.col("total_score"))))
 
-    stream = worker.application_stream(spark, f"{base}/in/*")
+    stream = worker.application_stream(spark, f"{base}/in/*", files_per_batch=max(1, 8 // deliveries))
     worker.start(stream, score, f"{base}/log", f"{base}/checkpoint").awaitTermination()
     return worker.read_log(spark, f"{base}/log", worker.RESULT_SCHEMA)
 
 
 STREAM = """SELECT r.application_id, r.score, r.decision FROM o_results r JOIN h_applications a USING (application_id)
-  WHERE a.status = 'APPLIED' AND NOT a.processed AND a.job_id IS NOT NULL"""
+  WHERE a.status = 'APPLIED' AND NOT a.processed"""
 
 
 @query("stream_score", chain(STREAM))

@@ -200,12 +200,12 @@ _p = "CAST(round_even({}, 0) AS INT)".format
 _breadth = "least(greatest(n_required / 4.0::DOUBLE, 0.7::DOUBLE), 1.0)"
 O_SCORE = f"""o_all AS (SELECT m.*, j.title, j.min_years_experience, j.b, j.target_level, CASE WHEN n_required > 0 THEN n_matched::DOUBLE / n_required ELSE 1.0 END AS match_ratio,
     coalesce(ad.additional, []) AS additional, coalesce(n_additional, 0) AS n_additional, coalesce(tags, []) AS tags, coalesce(n_tags, 0) AS n_tags,
-    dc.cover AS domain_alignment, kc.cover AS keyword_ratio, CASE WHEN len(education_ref) = 0 AND len(certificate_ref) = 0 THEN 1.0
-      WHEN len(certificate_ref) = 0 THEN ec.cover WHEN len(education_ref) = 0 THEN cc.cover ELSE (ec.cover + cc.cover) / 2 END::DOUBLE AS education_fit,
+    dc.cover AS domain_alignment, kc.cover AS keyword_ratio, CASE WHEN len(required_education) = 0 AND len(required_certifications) = 0 THEN 1.0
+      WHEN len(required_certifications) = 0 THEN ec.cover WHEN len(required_education) = 0 THEN cc.cover ELSE (ec.cover + cc.cover) / 2 END::DOUBLE AS education_fit,
     y.years, coalesce(g.peak_level, 0) AS peak_level, coalesce(g.growth, 0) AS growth, coalesce(it.intern_dominant, false) AS intern_dominant,
     coalesce(n_bullets, 0) AS n_bullets, coalesce(n_quantified, 0) AS n_quantified, CASE WHEN n_own + n_contribute > 0 THEN n_own::DOUBLE / (n_own + n_contribute) ELSE 0.5 END AS ownership,
     coalesce(nc.n, 0) AS n_clusters, c.name, ((c.name <> '')::INT + (c.email <> '')::INT + (c.summary <> '')::INT + (len(c.skills) > 0)::INT + (t.n_entries IS NOT NULL)::INT
-      + c.schooled::INT + (c.linkedin <> '')::INT) / 7.0::DOUBLE AS completeness
+      + c.schooled::INT + (c.linkedin <> '' OR c.portfolio <> '')::INT) / 7.0::DOUBLE AS completeness
   FROM o_match m JOIN o_jobs j USING (job_id) JOIN h_candidates c USING (candidate_id) JOIN h_years y USING (candidate_id) LEFT JOIN h_tenure t USING (candidate_id)
   LEFT JOIN h_growth g USING (candidate_id) LEFT JOIN h_intern it USING (candidate_id) LEFT JOIN o_bullets USING (candidate_id)
   LEFT JOIN (SELECT candidate_id, count(*) FILTER (term = leader) AS n FROM o_weights GROUP BY 1) nc USING (candidate_id)

@@ -31,12 +31,13 @@ def job_terms(jobs: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
         tx.keyword_set(F.col("title"), F.col("responsibilities"), F.col("domain_keywords")).alias("keywords"),
         tx.normal_set(F.col("required_education")).alias("education_ref"),
         tx.normal_set(F.col("required_certifications")).alias("certificate_ref"),
+        (F.size("required_education") > 0).alias("asks_education"), (F.size("required_certifications") > 0).alias("asks_certificate"),
         tn.seniority(F.concat_ws(" ", "title", F.array_join("responsibilities", " "))).alias("target_level"),
     )
     title_terms = tx.sanitise_terms(tx.score_phrases("title", 8), 8)
     duties = tx.score_phrases(F.array_join("responsibilities", "\n"), 20)
     return base.select(
-        "job_id", "title", "min_years_experience", "budget", "keywords", "education_ref", "certificate_ref", "target_level",
+        "job_id", "title", "min_years_experience", "budget", "keywords", "education_ref", "certificate_ref", "asks_education", "asks_certificate", "target_level",
         tx.normal_set(F.col("must")).alias("required"), tx.normal_set(F.col("nice")).alias("preferred"),
         tx.normal_set(F.concat("must", "nice", "domain_keywords", "keywords", title_terms, duties)).alias("context"),
         tx.normal_set(F.concat("domain_keywords", "must", "nice")).alias("domain_own"),
@@ -185,7 +186,8 @@ def candidate_profiles(c: Candidates, pairs: DataFrame, cfg: MatchConfig = DEFAU
         F.when(n_acts > 0, F.col("n_own") / n_acts).otherwise(0.5).alias("ownership"),
         sc.completeness([
             F.col("name") != "", F.col("email") != "", F.col("summary") != "", F.size("skills") > 0,
-            F.coalesce("n_entries", F.lit(0)) > 0, F.size("education") > 0, F.col("linkedin") != "",
+            F.coalesce("n_entries", F.lit(0)) > 0, F.size("education") > 0,
+            (F.coalesce("linkedin", F.lit("")) != "") | (F.coalesce("portfolio", F.lit("")) != ""),
         ]).alias("completeness"),
     )
 
@@ -308,11 +310,9 @@ def pair_features(pairs: DataFrame, jobs: DataFrame, people: DataFrame, cfg: Mat
 def score_features(features: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     """The five scores, caps, bonuses, total, confidence and risk as columns."""
     c, b = F.col, (lambda part: F.col(f"budget.{part}"))
-    criteria_n = (F.size("education_ref") > 0).cast("int") + (F.size("certificate_ref") > 0).cast("int")
-    criteria_sum = (
-        F.when(F.size("education_ref") > 0, c("education_cover")).otherwise(0.0)
-        + F.when(F.size("certificate_ref") > 0, c("certificate_cover")).otherwise(0.0)
-    )
+    # a criterion exists where the job lists one, also when nothing of it is left after normalising
+    criteria_n = c("asks_education").cast("int") + c("asks_certificate").cast("int")
+    criteria_sum = F.when(c("asks_education"), c("education_cover")).otherwise(0.0) + F.when(c("asks_certificate"), c("certificate_cover")).otherwise(0.0)
     additional_cap, domain_cap = sc.bonus_caps(c("match_ratio"), cfg)
     step = features.withColumns({
         "skill_ratio": sc.skill_ratio(c("required_credit"), c("n_required"), c("preferred_credit"), c("n_preferred")),
@@ -421,7 +421,7 @@ def build_profiles(
 # profile columns that the scores were made from; a result row does not carry them along
 INPUT_ONLY = [
     "skill_hits", "centre_hits", "explicit_near", "weights", "context", "domain_own", "domain_centres", "keywords",
-    "education_ref", "certificate_ref", "required", "preferred", "responsibilities", "domain_keywords",
+    "education_ref", "certificate_ref", "asks_education", "asks_certificate", "required", "preferred", "responsibilities", "domain_keywords",
     *[f"{k}_{w}" for k in ("domain", "certificate", "keyword", "education") for w in ("full", "half")],
     *[f"has_{k}" for k in KINDS],
 ]

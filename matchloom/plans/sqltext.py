@@ -79,7 +79,7 @@ H_JOBS = f"""h_jobs AS (
   SELECT {JOB_ID} AS job_id, {case_map('p_type', views.TITLES, "''")} AS title,
     {_set('p_name', 'p_size >= 40')} AS must_have_skills, {_set('p_name', 'p_size < 10')} AS good_to_have_skills,
     min(p_size) / 10 AS min_years_experience,
-    CASE p_type WHEN 'LARGE' THEN ['b.tech computer science', 'phd'] WHEN 'SMALL' THEN ['master'] ELSE [] END AS required_education,
+    CASE p_type WHEN 'LARGE' THEN ['b.tech computer science', 'phd'] WHEN 'SMALL' THEN ['master'] WHEN 'MEDIUM' THEN ['engineering'] ELSE [] END AS required_education,
     {_set('p_name', 'p_size = 12')} AS required_certifications,
     {_set("string_split(p_name, ' ')[-1]", 'p_size BETWEEN 20 AND 24')} AS domain_keywords,
     {_set("'Own ' || p_name || '; mentor team'", 'p_size BETWEEN 30 AND 31')} AS responsibilities,
@@ -99,6 +99,7 @@ h_candidates AS (
     CASE WHEN c_acctbal >= 500 THEN replace(lower(c_name), '#', '.') || '@example.com' ELSE '' END AS email,
     coalesce(n_name, '') AS location,
     CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'https://linkedin.com/in/' || lower(c_mktsegment) ELSE '' END AS linkedin,
+    CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'https://example.org/work' ELSE '' END AS portfolio,
     CASE WHEN c_acctbal >= 1000 THEN lower(c_mktsegment) || ', hot anvil, new ring / cold rods' ELSE '' END AS summary,
     coalesce(skills, []) AS skills, coalesce(tools, []) AS tools, coalesce(certifications, []) AS certifications,
     coalesce(projects, []) AS projects,
@@ -130,7 +131,7 @@ h_applications AS (
 
 H_LOG = """h_log AS (
   SELECT l_orderkey AS application_id, 'SCORE' AS stage,
-    CASE WHEN l_linestatus = 'F' THEN 'FAILED' ELSE 'DONE' END AS status, l_shipdate AS created_at
+    CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_quantity < 25 THEN 'failed' ELSE 'FAILED' END WHEN l_quantity < 25 THEN 'DONE' END AS status, l_shipdate AS created_at
   FROM lineitem WHERE l_returnflag = 'R')"""
 
 H_RESUME = """h_resume AS (
@@ -164,9 +165,9 @@ H_MODEL = """h_model AS (
     ELSE '```json' || chr(10) || regexp_replace(props, '\\}$', ',}') || chr(10) || '```' END AS raw FROM events)"""
 
 H_GRAPH = """h_graph AS (
-  SELECT a.p_name AS term, CASE a.p_size WHEN 1 THEN 'equivalent' WHEN 25 THEN 'parent' ELSE 'adjacent' END AS relation,
+  SELECT a.p_name AS term, CASE WHEN a.p_size < 4 THEN 'equivalent' WHEN a.p_size < 26 THEN 'parent' ELSE 'adjacent' END AS relation,
     b.p_name AS related, a.p_partkey AS pos
-  FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size IN (1, 25, 50))"""
+  FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"""
 
 
 def with_(*ctes: str) -> str:

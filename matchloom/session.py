@@ -22,12 +22,15 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the cluster names none, as in local tests."""
+    """The folder all executors see: spark.checkpoint.dir, else the context's checkpoint folder. Only a local master may do
+    with a temporary one; on a cluster each node would write to a disk of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         context = spark.sparkContext
         folder = context.getCheckpointDir()
         if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             folder = context.getCheckpointDir()
     return folder

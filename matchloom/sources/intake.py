@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as fv
-from matchloom.config import DEFAULT, MatchConfig
+from matchloom.config import DEFAULT
 from matchloom.functions import text as tx
 
 
@@ -52,13 +52,9 @@ def cap_pages(pages: DataFrame, doc: str, page: str, n: int = DEFAULT.max_pages)
     return first.join(counts, doc).withColumn("warning", F.when(F.col("_n") > n, note).otherwise("")).drop("_k", "_n")
 
 
-def assemble(chunks: DataFrame, doc: str, pos: str, text: str, cfg: MatchConfig = DEFAULT) -> DataFrame:
-    """Non-blank chunks joined by newlines in order, one row per ``chunk_segment`` positions.
-
-    A usual document is one row; a document of any length is a series of bounded rows, whole and in order.
-    """
+def assemble(chunks: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
+    """Non-blank chunks joined by newlines in order: one text per document, as later steps read it."""
     t = tx.strip_space(F.coalesce(text, F.lit("")))
     good = chunks.select(doc, F.col(pos).alias("_p"), t.alias("_t")).where("_t <> ''")
-    seg = F.floor(F.col("_p") / cfg.chunk_segment).alias("segment")
-    return good.groupBy(doc, seg).agg(
+    return good.groupBy(doc).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_t"))), lambda x: x["_t"]), "\n").alias("text"))

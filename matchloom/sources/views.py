@@ -58,6 +58,7 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
         "must_have_skills", "good_to_have_skills", "min_years_experience",
         F.when(F.col("p_type") == "LARGE", strings(["b.tech computer science", "phd"]))
         .when(F.col("p_type") == "SMALL", strings(["master"]))
+        .when(F.col("p_type") == "MEDIUM", strings(["engineering"]))
         .otherwise(strings([])).alias("required_education"),
         "required_certifications", "domain_keywords", "responsibilities",
         pick(F.col("p_type"), ARCHETYPES, "standard").alias("archetype"),
@@ -106,6 +107,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
             F.coalesce("n_name", F.lit("")).alias("location"),
             F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.concat(F.lit("https://linkedin.com/in/"), segment))
             .otherwise("").alias("linkedin"),
+            F.when(F.col("c_mktsegment") == "HOUSEHOLD", "https://example.org/work").otherwise("").alias("portfolio"),
             F.when(F.col("c_acctbal") >= 1000, F.concat(segment, F.lit(", hot anvil, new ring / cold rods")))
             .otherwise("").alias("summary"),
             empty_if_null("skills").alias("skills"), empty_if_null("tools").alias("tools"),
@@ -165,11 +167,13 @@ def applications(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Existing log rows: one per returned line, FAILED where the line is also closed."""
+    """Existing log rows: one per returned line, FAILED (in either case) where the line is also closed; successes carry
+    DONE or no status."""
     return table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(
         F.col("l_orderkey").alias("application_id"),
         F.lit("SCORE").alias("stage"),
-        F.when(F.col("l_linestatus") == "F", "FAILED").otherwise("DONE").alias("status"),
+        F.when(F.col("l_linestatus") == "F", F.when(F.col("l_quantity") < 25, "failed").otherwise("FAILED"))
+        .when(F.col("l_quantity") < 25, "DONE").alias("status"),
         F.col("l_shipdate").alias("created_at"),
     )
 
@@ -239,9 +243,9 @@ def model_output(spark: SparkSession, sf: str) -> DataFrame:
 def graph_source(spark: SparkSession, sf: str) -> DataFrame:
     """Skill-graph input: the name of the next part is related to the name of this one."""
     p = table(spark, sf, "part")
-    a = p.where("p_size IN (1, 25, 50)").select(
+    a = p.select(
         F.col("p_name").alias("term"), F.col("p_partkey").alias("pos"),
-        F.when(F.col("p_size") == 1, "equivalent").when(F.col("p_size") == 25, "parent").otherwise("adjacent").alias("relation"),
+        F.when(F.col("p_size") < 4, "equivalent").when(F.col("p_size") < 26, "parent").otherwise("adjacent").alias("relation"),
     )
     b = p.select(F.col("p_partkey").alias("next"), F.col("p_name").alias("related"))
     return a.join(b, a.pos + 1 == b.next).select("term", "relation", "related", "pos")

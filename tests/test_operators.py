@@ -68,13 +68,14 @@ APPS = "application_id bigint, candidate_id bigint, job_id string, status string
 
 def apps(spark):
     rows = [(1, 1, "a", "APPLIED", False), (2, 1, "a", "APPLIED", True), (3, 9, "a", "APPLIED", False), (4, 1, "zz", "APPLIED", False),
-            (5, 1, "_a", "APPLIED", False), (6, 1, "a", "CLOSED", False), (7, 1, None, "APPLIED", False), (8, 1, "a", "APPLIED", False)]
+            (5, 1, "_a", "APPLIED", False), (6, 1, "a", "CLOSED", False), (7, 1, None, "APPLIED", False), (8, 1, "a", "APPLIED", False), (10, 1, "a", "APPLIED", False)]
     df = spark.createDataFrame(rows, APPS.rsplit(",", 1)[0])
     return df.withColumn("applied_at", F.lit("2024-01-01").cast("timestamp"))
 
 
 def test_pending_and_resolve(spark):
-    log = spark.createDataFrame([(1, "SCORE", "FAILED", 1), (1, "SCORE", "DONE", 2), (8, "SCORE", "DONE", 1), (8, "SCORE", "FAILED", 2)],
+    log = spark.createDataFrame([(1, "SCORE", "FAILED", 1), (1, "SCORE", "DONE", 2), (8, "SCORE", "DONE", 1), (8, "SCORE", "failed", 2),
+                                 (10, "SCORE", None, 1)],
                                 "application_id bigint, stage string, status string, created_at int")
     due = pn.pending(apps(spark), log)
     assert sorted(r.application_id for r in due.collect()) == [3, 4, 5, 7, 8]
@@ -84,14 +85,39 @@ def test_pending_and_resolve(spark):
     assert got == {3: ("DELETED", "a"), 4: ("FAILED", None), 5: ("READY", "a"), 7: ("FAILED", None), 8: ("READY", "a")}
 
 
-def test_stream_scores_once(spark, tmp_path):
-    source, log, state = (str(tmp_path / n) for n in ("in", "log", "state"))
+def test_rank_with_text_ids_and_nulls(spark):
+    rows = [("j", "b", 80, None, 70, 10, ["x"], []), ("j", "a", 80, None, 70, 10, ["x"], ["y"]), ("j", "c", None, 1.0, 70, 10, [], []),
+            ("j", "d", 80, 0.7, 70, None, [], []), (None, "e", 10, 0.1, None, 1, [], [])]
+    df = spark.createDataFrame(rows, "job_id string, candidate_id string, total_score int, required_match_ratio double, confidence_score int, "
+                                     "risk_score int, matched array<string>, missing array<string>")
+    ranked = {r.candidate_id: r["rank"] for r in ranking.rank_results(df).collect()}
+    assert ranked == {"b": 1, "d": 2, "a": 3, "c": 4, "e": 1}
+    assert [r.candidate_id for r in ranking.top_k(df, 2).where("job_id = 'j'").orderBy("rank").collect()] == ["b", "d"]
+
+
+def one_score(due):
+    decision = F.when(F.col("job_id").isNull(), "FAILED").otherwise("REJECTED")
+    return due.select("application_id", "candidate_id", "job_id", F.lit(50).alias("score"), decision.alias("decision"))
 
-    def score(due):
-        return due.select("application_id", "candidate_id", "job_id", F.lit(50).alias("score"), F.lit("REJECTED").alias("decision"))
 
+def test_stream_scores_once(spark, tmp_path):
+    source, log, state = (str(tmp_path / n) for n in ("in", "log", "state"))
     for _ in range(2):  # the same rows are delivered again, in a second run from the same state
         apps(spark).write.mode("append").parquet(source)
-        worker.start(worker.application_stream(spark, source), score, log, state).awaitTermination()
-    rows = worker.read_log(spark, log, worker.RESULT_SCHEMA).collect()
-    assert sorted(r.application_id for r in rows) == [1, 3, 4, 5, 7, 8]
+        worker.start(worker.application_stream(spark, source, 1), one_score, log, state).awaitTermination()
+    rows = worker.read_log(spark, log).collect()
+    assert sorted(r.application_id for r in rows) == [1, 3, 4, 5, 7, 8, 10]
+    assert {r.application_id: r.status for r in rows}[7] == "FAILED"  # written like any other, and not tried again
+    after = worker.write_back(apps(spark), worker.read_log(spark, log)).collect()
+    assert {r.application_id: (r.processed, r.ats_decision) for r in after if r.application_id in (1, 2, 6, 7)} == {
+        1: (True, "REJECTED"), 2: (True, None), 6: (False, None), 7: (True, "FAILED")}
+
+
+def test_stream_takes_late_applications(spark, tmp_path):
+    source, log, state = (str(tmp_path / n) for n in ("in", "log", "state"))
+    for batch in ([(1, "2024-01-10")], [(2, "2023-01-05"), (3, "2024-01-11"), (1, "2024-02-01")]):
+        rows = [(i, 1, "a", "APPLIED", False, day) for i, day in batch]
+        df = spark.createDataFrame(rows, APPS.replace("timestamp", "string")).withColumn("applied_at", F.col("applied_at").cast("timestamp"))
+        df.write.mode("append").parquet(source)
+        worker.start(worker.application_stream(spark, source), one_score, log, state).awaitTermination()
+    assert sorted(r.application_id for r in worker.read_log(spark, log).collect()) == [1, 2, 3]
