@@ -19,6 +19,7 @@ class MatchConfig:
     top_k: int = 5
     max_pages: int = 5
     min_text_chars: int = 300
+    max_files: int = 100
     max_file_bytes: int = 10 * 1024 * 1024
     as_of: str = "2024-01"  # what "Present" means; always explicit so that reruns agree
     rank_bucket: int = 100_000  # ids per bucket when one huge group has to be ordered

@@ -104,6 +104,7 @@ SHORT_JOB_CONTEXT = {
     ),
 }
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+LATEST_SHORT_YEAR = "74"  # two figures below this are years from 2000, others from 1900
 
 # ---- fixed values: patterns (explicit classes, so that they mean the same in every regex dialect) ------------------
 WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

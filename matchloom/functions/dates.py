@@ -31,6 +31,20 @@ def _parse(text: Column) -> Column:
             F.concat(first_match(text, pattern, year_group), F.lit("-"), month),
         )
 
+    def day_first(pattern: str) -> Column:
+        """Day, month, year in figures: the month comes first unless it is above 12."""
+        return F.when(
+            text.rlike(pattern) & first_match(text, pattern, 1).between("13", "31") & F.lpad(first_match(text, pattern, 2), 2, "0").between("01", "12"),
+            F.concat(first_match(text, pattern, 3), F.lit("-"), F.lpad(first_match(text, pattern, 2), 2, "0")))
+
+    def short_year(pattern: str, month_group: int, year_group: int) -> Column:
+        month = F.element_at(month_no, F.substring(F.lower(first_match(text, pattern, month_group)), 1, 3))
+        digits = first_match(text, pattern, year_group)
+        century = F.when(digits < fv.LATEST_SHORT_YEAR, "20").otherwise("19")
+        return F.when(text.rlike(pattern), F.concat(century, digits, F.lit("-"), month))
+
+    ordinal = "[0-9]{1,2}(?:st|nd|rd|th)"
+    month_name = r"(?i)\b((?:" + "|".join(fv.MONTHS) + r")[a-z]{0,6})\.?"
     return F.coalesce(
         F.when(text == "", F.lit("")),
         F.when(F.lower(text).isin("present", "current", "now", "ongoing"), F.lit("Present")),
@@ -41,6 +55,13 @@ def _parse(text: Column) -> Column:
         named(rf"^{name},? ?{year}$", 1, 2),
         named(rf"^{name} [0-9]{{1,2}},? {year}$", 1, 2),
         named(rf"^[0-9]{{1,2}} {name},? {year}$", 1, 2),
+        day_first(rf"^([0-9]{{2}})[-/.]([0-9]{{1,2}})[-/.]{year}$"),
+        named(rf"^{year},? {name}$", 2, 1),
+        named(rf"^{name} {ordinal},? {year}$", 1, 2),
+        named(rf"^{ordinal} (?:of )?{name},? {year}$", 1, 2),
+        short_year(rf"^{name},? ?['’]([0-9]{{2}})$", 1, 2),
+        named(rf"{month_name},? +(?:{ordinal}|[0-9]{{1,2}})?,? *{year}\b", 1, 2),
+        named(rf"\b{year},? +{month_name}", 2, 1),
         text,
     )
 

@@ -181,6 +181,9 @@ def rationale(context: DataFrame) -> DataFrame:
     projects = F.transform(F.filter("retrieved", lambda e: e["source"] == "project"), lambda e: e["text"])
     found = F.concat(F.slice(projects, 1, 2), F.slice("impact_evidence", 1, 2), F.slice("strengths", 1, 3))
     hidden = tx.let(adjacent, lambda a: F.slice(tx.distinct_ignoring_case(F.concat(a, tx.unique_compact(found))), 1, 4))
+    if "has_projects" in context.columns:
+        practical = F.array(F.lit("Project work indicates practical delivery experience."))
+        hidden = tx.let(hidden, lambda h: F.when((F.size(h) == 0) & F.coalesce("has_projects", F.lit(False)), practical).otherwise(h))
     return context.withColumns({
         "fit_rationale": F.array_join(parts, " "), "interview_focus_areas": focus, "hidden_strengths": hidden,
     })

@@ -10,6 +10,30 @@ from matchloom.functions import text as tx
 RELATIONS = ["equivalent", "parent", "adjacent"]
 
 
+def graph_rows(entries: DataFrame) -> DataFrame:
+    """entries(term, value) as a model answers them -> raw rows for `skill_graph`.
+
+    value is a JSON object with a list or a single term per relation, under its name or else its plural, or a bare list,
+    which names parents. Anything else relates the term to nothing.
+    """
+    text = F.trim("value")
+    by_name = F.from_json(F.when(text.startswith("{"), text), "map<string,string>")
+
+    def listed(raw):
+        many = F.from_json(F.when(F.trim(raw).startswith("["), raw), "array<string>")
+        single = F.when(~F.trim(raw).startswith("[") & (F.trim(raw) != ""), F.array(raw))
+        return F.coalesce(many, single, tx.strings([]))
+
+    def related(relation: str):
+        named = listed(F.element_at("m", F.lit(relation)))
+        found = F.when(F.size(named) > 0, named).otherwise(listed(F.element_at("m", F.lit(relation + "s"))))
+        return F.when((F.lit(relation) == "parent") & text.startswith("["), listed(text)).otherwise(found)
+
+    relations = F.array(*[F.struct(F.lit(r).alias("relation"), related(r).alias("names")) for r in RELATIONS])
+    split = entries.withColumn("m", by_name).select("term", F.explode(relations).alias("x"))
+    return split.select("term", "x.relation", F.posexplode("x.names").alias("pos", "related"))
+
+
 def skill_graph(raw: DataFrame, per_relation: int = 8, per_term: int = 16) -> DataFrame:
     """raw(term, relation, related, pos) -> edges(term, relation, related_term).
 

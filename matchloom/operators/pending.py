@@ -99,6 +99,28 @@ def set_status(applications: DataFrame, updates: DataFrame) -> DataFrame:
     return applications.join(updates, "application_id", "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
 
 
+def write_cache(candidates: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Candidates with freshly parsed records (candidate_id, parsed) stored beside them; others keep what they have."""
+    fresh = parsed.select("candidate_id", F.col("parsed").alias("_fresh"))
+    stored = candidates if "parsed" in candidates.columns else candidates.withColumn("parsed", F.lit(None).cast(dict(parsed.dtypes)["parsed"]))
+    return stored.join(fresh, "candidate_id", "left").withColumn("parsed", F.coalesce("_fresh", "parsed")).drop("_fresh")
+
+
+def clear_cache(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates without parsed records, one row with the number of records that were there)."""
+    count = candidates.agg(F.count("parsed").alias("cleared"))
+    return candidates.withColumn("parsed", F.lit(None).cast(dict(candidates.dtypes)["parsed"])), count
+
+
+def run_metrics(batches: DataFrame) -> DataFrame:
+    """batches(processed, failed, seconds) -> totals, requests and average seconds per request (0 without requests)."""
+    total = F.coalesce(F.sum("seconds"), F.lit(0.0))
+    return batches.agg(
+        F.coalesce(F.sum("processed"), F.lit(0)).alias("processed"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"),
+        F.round(total, 4).alias("total_seconds"), F.count(F.lit(1)).alias("requests"),
+        F.round(total / F.greatest(F.count(F.lit(1)), F.lit(1)), 2).alias("avg_seconds_per_request"))
+
+
 def batch_summary(results: DataFrame) -> DataFrame:
     n = lambda c: F.count(F.when(c, 1))
     failed, deleted = F.col("decision") == "FAILED", F.col("decision") == "DELETED"

@@ -236,6 +236,16 @@ CONF = """x_conf AS (SELECT doc_id, CASE WHEN email <> '' AND phone <> '' THEN 1
   FROM x_contact JOIN x_skills USING (doc_id) JOIN x_tools USING (doc_id) JOIN x_proj USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS ne FROM x_entries GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS nd FROM x_edu GROUP BY 1) USING (doc_id))"""
 
 
+_joined = f"list_aggregate({sec('CERTIFICATIONS')}, 'string_agg', chr(10))"
+CERTS = f"""x_cert_text AS (SELECT doc_id, coalesce({_joined}, '') AS lines FROM h_resume d),
+x_cert AS ({s.phrases('x_cert_text', 'doc_id', 'lines', 10, 6, False, 'certifications')})"""
+
+
+@query("certifications_projects", rec(PROJ, CERTS, select="SELECT doc_id, certifications, projects FROM x_cert JOIN x_proj USING (doc_id)"))
+def certifications_projects(spark, sf):
+    return resumes(spark, sf).select("doc_id", "certifications", "projects")
+
+
 @query("extract_confidence", rec(CONTACT, SKILLS, TOOLS, EXPERIENCE, EDU, PROJ, CONF, select="SELECT *, CAST(round_even((20 * contact + 30 * skills + 25 * experience + 15 * education + 10 * projects) / 100, 0) AS INT) AS overall FROM x_conf"))
 def extract_confidence(spark, sf):
     return resumes(spark, sf).select("doc_id", "confidence.*")
@@ -268,30 +278,38 @@ def _norm(x):
 
 
 @query("merge_job", s.with_(s.H_JOBS, f"""p AS (SELECT job_id, title, must_have_skills AS skills, min_years_experience, array_to_string(responsibilities, ' ') AS description FROM h_jobs),
-e AS (SELECT job_id, title, list_concat(must_have_skills[:2], good_to_have_skills) AS must, domain_keywords AS dom, required_education, archetype FROM h_jobs WHERE archetype <> 'product'),
-j AS (SELECT p.*, e.job_id IS NOT NULL AS has, coalesce(must, []) AS must, coalesce(dom, []) AS dom, coalesce(e.required_education, []) AS red, coalesce(archetype, 'standard') AS arch FROM p LEFT JOIN e USING (job_id)),
+e AS (SELECT job_id, title, list_concat(must_have_skills, good_to_have_skills) AS must, domain_keywords AS dom, required_education, required_certifications, archetype FROM h_jobs WHERE archetype <> 'product'),
+j AS (SELECT p.*, e.job_id IS NOT NULL AS has, coalesce(must, []) AS must, coalesce(dom, []) AS dom, coalesce(e.required_education, []) AS red, coalesce(e.required_certifications, []) AS rce, coalesce(archetype, 'standard') AS arch FROM p LEFT JOIN e USING (job_id)),
 k AS (SELECT *, {_norm('skills')} AS m, list_filter({_norm('list_concat(must, dom)')}, lambda x: NOT list_contains({s.split_list("array_to_string(skills, ',')")}, x)) AS inf,
    {_ext("title || ' ' || description || ' ' || array_to_string(skills, ' ')", 12)} AS bw, {_ext("title || ' ' || description", 12)} AS tw FROM j)""")
        + f"""SELECT job_id, title, m AS must_have_skills, inf AS good_to_have_skills, CASE WHEN has THEN {_norm('list_concat(bw, dom, inf, tw)')} ELSE bw END AS domain_keywords,
-  {_norm('red')} AS required_education, CASE WHEN description <> '' THEN [description] ELSE [] END AS responsibilities, CAST(min_years_experience AS DOUBLE) AS min_years_experience, arch AS archetype FROM k""")
+  {_norm('red')} AS required_education, {_norm('rce')} AS required_certifications, CASE WHEN description <> '' THEN [description] ELSE [] END AS responsibilities, CAST(min_years_experience AS DOUBLE) AS min_years_experience, arch AS archetype FROM k""")
 def merge_job(spark, sf):
     j = views.jobs(spark, sf)
     postings = j.select("job_id", "title", F.col("must_have_skills").alias("skills"), "min_years_experience", F.array_join("responsibilities", " ").alias("description"))
     extracted = j.where("archetype <> 'product'").select(
-        "job_id", "title", F.concat(F.slice("must_have_skills", 1, 2), "good_to_have_skills").alias("must_have_skills"), tx.strings([]).alias("good_to_have_skills"),
-        "domain_keywords", "required_education", tx.strings([]).alias("responsibilities"), "archetype")
+        "job_id", "title", F.concat("must_have_skills", "good_to_have_skills").alias("must_have_skills"), tx.strings([]).alias("good_to_have_skills"),
+        "domain_keywords", "required_education", "required_certifications", tx.strings([]).alias("responsibilities"), "archetype")
     return merge.merge_jobs(postings, extracted)
 
 
 @query("merge_candidate", s.with_(s.H_CANDIDATES) + f"""SELECT candidate_id, CASE WHEN stated_years > 5 THEN 'Parsed ' || candidate_id ELSE name END AS name, email, location,
+  CASE WHEN stated_years > 8 THEN '+1' WHEN candidate_id % 2 = 0 THEN 'c' || candidate_id ELSE 'p' || candidate_id END AS phone, certifications, projects,
+  CASE WHEN len(skills) > 0 THEN '3' ELSE '2' END || ' model' AS metadata,
   {_norm('list_concat(tools, skills)')} AS skills, greatest(stated_years, CASE WHEN len(certifications) > 2 THEN 7.5 ELSE 0 END)::DOUBLE AS total_years_experience FROM h_candidates""")
 def merge_candidate(spark, sf):
     c = views.candidates(spark, sf)
     parsed = c.select(
         "candidate_id", F.when(F.col("stated_years") > 5, F.concat(F.lit("Parsed "), F.col("candidate_id").cast("string"))).otherwise("").alias("name"),
         F.lit("").alias("email"), F.lit("").alias("location"), F.col("tools").alias("skills"),
-        F.when(F.size("certifications") > 2, 7.5).otherwise(0.0).alias("computed_years"), F.lit(0.0).alias("stated_years"))
-    return merge.merge_candidates(c.select("candidate_id", "name", "email", "location", "skills", "stated_years"), parsed).drop("metadata")
+        F.when(F.size("certifications") > 2, 7.5).otherwise(0.0).alias("computed_years"), F.lit(0.0).alias("stated_years"),
+        F.when(F.col("stated_years") > 8, "+1").otherwise("").alias("phone"), "certifications", "projects",
+        F.create_map(F.lit("source"), F.lit("model")).alias("metadata"))
+    number = F.col("candidate_id").cast("string")
+    profile = c.select("candidate_id", "name", "email", "location", "skills", "stated_years",
+                       F.when(F.col("candidate_id") % 2 == 0, F.concat(F.lit("c"), number)).alias("contact"), F.concat(F.lit("p"), number).alias("phone"))
+    shown = F.concat_ws(" ", F.size("metadata").cast("string"), F.element_at("metadata", F.lit("source")))
+    return merge.merge_candidates(profile, parsed).withColumn("metadata", shown)
 
 
 @query("extract_stats", rec(CONTACT, SKILLS, EXPERIENCE, select="""SELECT lang AS path, count(*) AS n, CAST(sum((email <> '')::INT + (phone <> '')::INT + (linkedin <> '')::INT + (portfolio <> '')::INT) AS BIGINT) AS contact_fields,

@@ -24,6 +24,11 @@ def intake_gate(spark, sf):
     return intake.gate(files, (".en", ".de", ".fr"), 20000).select("doc_id", "reject_reason")
 
 
+@query("request_limit", "SELECT source, count(*) AS files, CASE WHEN count(*) > 100 THEN 'Maximum 100 resumes are allowed per request' ELSE '' END AS reject_reason FROM documents GROUP BY 1")
+def request_limit(spark, sf):
+    return intake.gate_requests(table(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("name")), "source")
+
+
 @query("dedupe_files", "SELECT DISTINCT source || '.' || lang AS name, n_chars AS size FROM documents")
 def dedupe_files(spark, sf):
     files = table(spark, sf, "documents").select(F.concat_ws(".", "source", "lang").alias("name"), F.col("n_chars").alias("size"))
@@ -98,6 +103,25 @@ def cache_split(spark, sf):
     return hits.unionByName(misses, allowMissingColumns=True)
 
 
+@query("cache_write", s.with_(s.H_CANDIDATES) + "SELECT candidate_id, CASE WHEN email = '' THEN 'new ' || name ELSE name END AS parsed FROM h_candidates")
+def cache_write(spark, sf):
+    people = views.candidates(spark, sf)
+    stored = people.select("candidate_id", F.when(F.col("email") != "", F.col("name")).alias("parsed"))
+    fresh = people.where("email = ''").select("candidate_id", F.concat(F.lit("new "), "name").alias("parsed"))
+    return pn.write_cache(stored, fresh)
+
+
+@query("cache_clear", s.with_(s.H_CANDIDATES) + "SELECT count(*) FILTER (email <> '') AS cleared FROM h_candidates")
+def cache_clear(spark, sf):
+    return pn.clear_cache(views.candidates(spark, sf).select("candidate_id", F.when(F.col("email") != "", F.col("name")).alias("parsed")))[1]
+
+
+@query("run_metrics", "SELECT CAST(count(*) FILTER (event_type <> 'error') AS BIGINT) AS processed, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS failed, round(sum(value), 4) AS total_seconds, count(*) AS requests, round(sum(value) / count(*), 2) AS avg_seconds_per_request FROM events")
+def run_metrics(spark, sf):
+    failed = (F.col("event_type") == "error").cast("int")
+    return pn.run_metrics(table(spark, sf, "events").select((1 - failed).alias("processed"), failed.alias("failed"), F.col("value").alias("seconds")))
+
+
 def results(spark, sf):
     scores = m.scored_table(spark, sf).select("job_id", "candidate_id", "total_score", sc.decision(F.col("total_score")).alias("decision"))
     return pn.outcome_rows(resolved(spark, sf), scores)

@@ -15,15 +15,32 @@ from matchloom.sources.tables import table
 
 AS_OF = DEFAULT.as_of_index
 
-RAW_DATES_SQL = """raw AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN strftime(o_orderdate, '%b %Y') WHEN '2-HIGH' THEN strftime(o_orderdate, '%Y-%m-%d')
+_th = "CASE WHEN day(o_orderdate) IN (1, 21, 31) THEN 'st' WHEN day(o_orderdate) IN (2, 22) THEN 'nd' WHEN day(o_orderdate) IN (3, 23) THEN 'rd' ELSE 'th' END"
+SHAPES_SQL = f"""CASE o_orderkey % 6 WHEN 0 THEN 'since ' || o_orderkey WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%Y %B')
+  WHEN 3 THEN strftime(o_orderdate, '%B ') || day(o_orderdate) || {_th} || strftime(o_orderdate, ', %Y') WHEN 4 THEN strftime(o_orderdate, '%b ') || chr(39) || strftime(o_orderdate, '%y')
+  ELSE strftime(o_orderdate, 'joined in %B %Y as lead') END"""
+RAW_DATES_SQL = f"""raw AS (SELECT o_orderkey, o_orderdate AS d, CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN o_orderkey % 6 ELSE 0 END AS shape, CASE o_orderpriority WHEN '1-URGENT' THEN strftime(o_orderdate, '%b %Y') WHEN '2-HIGH' THEN strftime(o_orderdate, '%Y-%m-%d')
   WHEN '3-MEDIUM' THEN strftime(o_orderdate, '%m/%Y') WHEN '4-NOT SPECIFIED' THEN CASE WHEN o_orderstatus = 'O' THEN ' current ' ELSE strftime(o_orderdate, '%d %B %Y') END
-  ELSE CASE o_orderstatus WHEN 'O' THEN strftime(o_orderdate, '%Y') WHEN 'F' THEN 'since ' || o_orderkey ELSE '' END END AS raw FROM orders)"""
+  ELSE CASE o_orderstatus WHEN 'O' THEN strftime(o_orderdate, '%Y') WHEN 'F' THEN {SHAPES_SQL} ELSE '' END END AS raw FROM orders)"""
 _mon = "CASE lower(substring(m, 1, 3)) " + " ".join(f"WHEN '{m}' THEN '{i + 1:02d}'" for i, m in enumerate(fv.MONTHS)) + " END"
-PARSED_SQL = f"""parsed AS (SELECT o_orderkey, CASE WHEN t = '' THEN '' WHEN lower(t) IN ('present', 'current', 'now', 'ongoing') THEN 'Present' WHEN regexp_matches(t, '^[0-9]{{4}}$') THEN t
+PARSED_SQL = f"""parsed AS (SELECT o_orderkey, CASE WHEN shape > 1 OR (shape = 1 AND day(d) > 12) THEN strftime(d, '%Y-%m') WHEN shape = 1 THEN strftime(d, '%Y-%d') WHEN t = '' THEN '' WHEN lower(t) IN ('present', 'current', 'now', 'ongoing') THEN 'Present' WHEN regexp_matches(t, '^[0-9]{{4}}$') THEN t
   WHEN regexp_matches(t, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN substring(t, 1, 7) WHEN regexp_matches(t, '^[0-9]{{2}}/[0-9]{{4}}$') THEN substring(t, 4, 4) || '-' || substring(t, 1, 2)
   WHEN regexp_matches(t, '^[A-Za-z]+ [0-9]{{4}}$') AND {_mon} IS NOT NULL THEN right(t, 4) || '-' || {_mon}
   WHEN regexp_matches(t, '^[0-9]+ [A-Za-z]+ [0-9]{{4}}$') THEN right(t, 4) || '-' || {_mon} ELSE t END AS parsed
-  FROM (SELECT o_orderkey, trim(raw) AS t, regexp_extract(raw, '[A-Za-z]{{3,}}') AS m FROM raw))"""
+  FROM (SELECT o_orderkey, d, shape, trim(raw) AS t, regexp_extract(raw, '[A-Za-z]{{3,}}') AS m FROM raw))"""
+
+
+def shapes(d):
+    """Dates as people also write them: day first, year first, ordinals, short years, inside a sentence."""
+    n, day = F.col("o_orderkey") % 6, F.dayofmonth(d)
+    th = F.when(day.isin(1, 21, 31), "st").when(day.isin(2, 22), "nd").when(day.isin(3, 23), "rd").otherwise("th")
+    month = F.date_format(d, "MMMM")
+    return (
+        F.when(n == 0, F.concat(F.lit("since "), F.col("o_orderkey").cast("string"))).when(n == 1, F.date_format(d, "dd/MM/yyyy"))
+        .when(n == 2, F.date_format(d, "yyyy MMMM"))
+        .when(n == 3, F.concat(month, F.lit(" "), day.cast("string"), th, F.lit(", "), F.date_format(d, "yyyy")))
+        .when(n == 4, F.concat(F.date_format(d, "MMM"), F.lit(" '"), F.date_format(d, "yy")))
+        .otherwise(F.concat(F.lit("joined in "), month, F.lit(" "), F.date_format(d, "yyyy"), F.lit(" as lead"))))
 
 
 def raw_dates(spark, sf):
@@ -36,7 +53,7 @@ def raw_dates(spark, sf):
         .when((F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("o_orderstatus") == "O"), " current ")
         .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.date_format(d, "dd MMMM yyyy"))
         .when(F.col("o_orderstatus") == "O", F.date_format(d, "yyyy"))
-        .when(F.col("o_orderstatus") == "F", F.concat(F.lit("since "), F.col("o_orderkey").cast("string")))
+        .when(F.col("o_orderstatus") == "F", shapes(d))
         .otherwise("")
     )
     return o.select("o_orderkey", text.alias("raw"))

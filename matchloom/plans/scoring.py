@@ -177,7 +177,7 @@ def candidate_profiles(c: Candidates, pairs: DataFrame, cfg: MatchConfig = DEFAU
     total_years = tn.years(F.col("weighted_tenths"), F.col("n_entries"), F.col("stated_years"))
     n_acts = F.col("n_own") + F.col("n_contribute")
     return out.select(
-        "candidate_id", "name", "skill_hits", "centre_hits", *[tx.empty_if_null(x).alias(x) for x in lists],
+        "candidate_id", "name", (F.size("projects") > 0).alias("has_projects"), "skill_hits", "centre_hits", *[tx.empty_if_null(x).alias(x) for x in lists],
         *[F.coalesce(f"has_{k}", F.lit(False)).alias(f"has_{k}") for k in KINDS],
         "explicit_near", "weights", F.coalesce("n_clusters", F.lit(0)).alias("n_clusters"),
         total_years.alias("years"), F.coalesce("peak_level", F.lit(0)).alias("peak_level"),

@@ -19,6 +19,13 @@ def gate(files: DataFrame, extensions=tuple(fv.SUPPORTED_EXTENSIONS), max_bytes:
     ))
 
 
+def gate_requests(files: DataFrame, request: str, most: int = DEFAULT.max_files) -> DataFrame:
+    """One row per request with its number of files and why it is turned down ('' when it is not)."""
+    n = files.groupBy(request).agg(F.count("name").alias("files"))
+    return n.withColumn("reject_reason", F.when(F.col("files") == 0, "At least one resume is required").when(
+        F.col("files") > most, F.lit(f"Maximum {most} resumes are allowed per request")).otherwise(""))
+
+
 def dedupe_files(files: DataFrame) -> DataFrame:
     """The same name and size is the same file."""
     return files.dropDuplicates(["name", "size"])

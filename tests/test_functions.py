@@ -103,3 +103,30 @@ def test_annotation_is_a_state_machine(spark):
 def test_repair_json(spark):
     rows = [('```json\n{"k": [1, 2,],}\n```',), ('[ {"k": 1} ]',), ("no braces",)]
     assert [r[0] for r in values(spark, rows, "t string", tx.repair_json("t"))] == ['{"k": [1, 2]}', '{"k": 1}', "no braces"]
+
+
+def test_dates_as_people_write_them(spark):
+    from matchloom.functions import dates
+
+    cases = {"25/03/2019": "2019-03", "03/04/2019": "2019-03", "2018 March": "2018-03", "March 15th, 2018": "2018-03", "15th of March 2018": "2018-03",
+             "Mar '18": "2018-03", "Mar '85": "1985-03", "worked since March 2018 there": "2018-03", "Mar 18": "Mar 18", "31/31/2019": "31/31/2019",
+             "in the marble hall 2018x": "in the marble hall 2018x", "": "", "now": "Present"}
+    df = spark.createDataFrame([(k,) for k in cases], "raw string")
+    assert {r.raw: r.d for r in df.select("raw", dates.parse_date("raw").alias("d")).collect()} == cases
+
+
+def test_graph_rows(spark):
+    from matchloom.operators.graph import graph_rows
+
+    rows = [("a", '{"equivalent": ["x", "y"], "parents": "p", "adjacent": []}'), ("b", '["q", "r"]'), ("c", "nothing"), ("d", None), ("e", '{"adjacents": ["z"]}')]
+    got = sorted((r.term, r.relation, r.pos, r.related) for r in graph_rows(spark.createDataFrame(rows, "term string, value string")).collect())
+    assert got == [("a", "equivalent", 0, "x"), ("a", "equivalent", 1, "y"), ("a", "parent", 0, "p"), ("b", "parent", 0, "q"), ("b", "parent", 1, "r"), ("e", "adjacent", 0, "z")]
+
+
+def test_posting_text(spark):
+    from matchloom.operators.merge import posting_text
+
+    rows = [(" Data  Engineer ", ["sql", " "], 2, "Own it"), (None, None, None, "")]
+    df = spark.createDataFrame(rows, "title string, skills array<string>, years int, description string")
+    got = [r.t for r in df.select(posting_text("title", "skills", "years", "description").alias("t")).collect()]
+    assert got == ["Job title: Data Engineer\nRequired skills: sql\nMinimum experience: 2 years\nDescription: Own it", "Minimum experience: 0 years"]
