@@ -23,9 +23,6 @@ from pyspark.sql import types as T
 from matchloom.config import DEFAULT
 from matchloom.functions import text as tx
 
-FREQUENT_FIRST = " etaoinsrhldcumfpgwybvkjxqz"
-
-
 BOTH_WAYS = T.StructType([T.StructField("sim", T.DoubleType()), T.StructField("back", T.DoubleType())])
 
 
@@ -94,18 +91,22 @@ def acronym_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def _rarest_first(df: DataFrame, counts: DataFrame) -> DataFrame:
-    """toks reordered by how many terms contain them."""
-    rows = df.select("term", F.explode("toks").alias("tok")).join(counts, "tok")
-    return rows.groupBy("term").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("n", "tok"))), lambda x: x["tok"]).alias("toks")
+def _rarest_first(df: DataFrame, counts: DataFrame, name: str = "toks") -> DataFrame:
+    """The list column reordered by how many terms contain each item."""
+    others = [c for c in df.columns if c != name]
+    rows = df.select(*others, F.explode(name).alias("tok")).join(counts, "tok")
+    return rows.groupBy(*others).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "tok"))), lambda x: x["tok"]).alias(name)
     )
 
 
+def _item_counts(left: DataFrame, right: DataFrame, name: str = "toks") -> DataFrame:
+    return left.select(name).union(right.select(name)).select(F.explode(name).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+
+
 def token_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
-    counts = left.select("toks").union(right.select("toks")).select(F.explode("toks").alias("tok")).groupBy("tok").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    left, right = left.select("term", "toks"), right.select("term", "toks")
+    counts = _item_counts(left, right)
     a, b = _sides(_rarest_first(left, counts), _rarest_first(right, counts), "term", "toks")
     size = F.size("l_toks")
     prefix = F.slice("l_toks", 1, F.greatest(size - F.ceil(size * floor).cast("int") + 1, F.lit(1)))
@@ -120,23 +121,24 @@ def token_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
 
 
 def _character_keys(df: DataFrame) -> DataFrame:
-    """(character, occurrence) keys of a term, rarest characters first."""
+    """(character, occurrence) keys of a term."""
 
     def keys(chars: Column) -> Column:
         def key(x: Column, i: Column) -> Column:
-            place = F.instr(F.lit(FREQUENT_FIRST), x)
-            rank = F.when(place == 0, 0).otherwise(99 - place)
-            nth = F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x))
-            return F.concat(F.lpad(rank.cast("string"), 2, "0"), x, nth.cast("string"))
+            return F.concat(x, F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x)).cast("string"))
 
-        return F.array_sort(F.transform(chars, key))
+        return F.transform(chars, key)
 
     return df.select("term", "c", tx.let(tx.matches(F.col("c"), "(?s)."), keys).alias("keys"))
 
 
-def sequence_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+def candidate_pairs(left: DataFrame, right: DataFrame, floor: float, same: bool = False) -> DataFrame:
+    """Pairs (l_term, r_term, l_c, r_c) that may reach the floor: close lengths, a shared key among the rarest ones of
+    both, and enough characters in common. With ``same`` both sides are one vocabulary and each pair comes once, l < r."""
     share = floor / (2 - floor)  # length ratio, and least share of characters in common, for a ratio >= floor
-    a, b = _sides(_character_keys(left), _character_keys(right), "term", "c", "keys")
+    left, right = _character_keys(left), _character_keys(right)
+    counts = _item_counts(left, right, "keys")
+    a, b = _sides(_rarest_first(left, counts, "keys"), _rarest_first(right, counts, "keys"), "term", "c", "keys")
     ln, rn = F.size("l_keys"), F.size("r_keys")
 
     def prefix(name: str) -> Column:
@@ -150,13 +152,21 @@ def sequence_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame
     other = b.withColumn("n", rn).withColumn("k", F.explode("r_prefix"))
     first_shared = F.get(F.array_intersect("l_prefix", "r_prefix"), F.lit(0)) == F.col("k")
     bound = 2 * F.size(F.array_intersect("l_keys", "r_keys")) / (ln + rn)
-    pairs = keyed.join(other, ["n", "k"]).where(
-        (F.col("l_c") != F.col("r_c")) & first_shared & (bound >= floor)
-    )
+    good = (F.col("l_c") != F.col("r_c")) & first_shared & (bound >= floor)
+    if same:
+        good = good & (F.col("l_term") < F.col("r_term"))
+    return keyed.join(other, ["n", "k"]).where(good).select("l_term", "r_term", "l_c", "r_c")
+
+
+def sequence_pairs(left: DataFrame, right: DataFrame, floor: float, same: bool = False) -> DataFrame:
+    pairs = candidate_pairs(left, right, floor, same)
     ratio = pairs.select(F.col("l_term").alias("l"), F.col("r_term").alias("r"), sequence_ratio("l_c", "r_c").alias("s"))
-    return ratio.select("l", "r", F.col("s.sim").alias("seq"), F.col("s.back").alias("seq_back")).where(
-        (F.col("seq") >= floor) | (F.col("seq_back") >= floor)
-    )
+    out = ratio.select("l", "r", F.col("s.sim").alias("seq"), F.col("s.back").alias("seq_back"))
+    if same:  # both directions of a pair come from one comparison
+        turned = F.array(F.struct("l", "r", "seq", "seq_back"), F.struct(
+            F.col("r").alias("l"), F.col("l").alias("r"), F.col("seq_back").alias("seq"), F.col("seq").alias("seq_back")))
+        out = out.select(F.explode(turned).alias("p")).select("p.*")
+    return out.where((F.col("seq") >= floor) | (F.col("seq_back") >= floor))
 
 
 def graph_pairs(edges: DataFrame) -> DataFrame:
@@ -206,7 +216,7 @@ def pair_table(
         rows(token_pairs(lf, rf, floor), tok=F.col("tok")),
     ]
     if ratio:
-        parts.append(rows(sequence_pairs(lf, rf, floor), seq=F.col("seq"), seq_back=F.col("seq_back")))
+        parts.append(rows(sequence_pairs(lf, rf, floor, left is right), seq=F.col("seq"), seq_back=F.col("seq_back")))
     known = lambda df: df.join(left.select(F.col("term").alias("l")), "l", "left_semi").join(
         right.select(F.col("term").alias("r")), "r", "left_semi"
     )

@@ -49,6 +49,21 @@ def test_pair_table_is_complete_and_exact(spark, floor):
             assert abs(g - w) < 1e-12 or w < floor  # below the floor only the other direction counted
 
 
+def test_one_vocabulary_gives_the_same_table(spark):
+    one = vocab(spark)
+    rows = lambda df: sorted((r.l, r.r, round(r.sim, 12), round(r.back, 12)) for r in df.collect())
+    assert rows(sm.pair_table(one, one, 0.7)) == rows(sm.pair_table(one, vocab(spark), 0.7))
+
+
+def test_ratio_join_compares_few_pairs(spark):
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghijklmnoprstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(60)]
+    phrases = sorted({" ".join(r.sample(words, 3)) for _ in range(900)})
+    terms = spark.createDataFrame([(p,) for p in phrases], "term string")
+    made = sm.candidate_pairs(sm.features(terms), sm.features(terms), 0.78, same=True).count()
+    assert made < 0.1 * len(phrases) * (len(phrases) - 1) / 2
+
+
 def test_ratio_is_directional(spark):
     df = spark.createDataFrame([("tide", "diet")], "a string, b string").select(sm.sequence_ratio("a", "b").alias("s"))
     assert tuple(df.collect()[0].s) == (0.25, 0.5)
