@@ -5,9 +5,10 @@ children / size; sets that pick the same member meet in a bucket. Buckets that s
 the next level, small ones are compared member by member. Runs repeat until a pair at the threshold meets in one of them
 with the target recall. Buckets still large at the last level are compared block by block, so nothing is given up.
 
-Exact copies collapse to one set first. A first round (run 1, and each large bucket against one pivot) labels most
-groups; later rounds skip buckets whose sets all carry one label. Links inside the classes found are then counted
-exactly, block against block, without a row per pair.
+Exact copies collapse to one set first. The first run labels most groups. The large buckets of all runs are compared with
+one pivot each: where the members are like the pivot on average, splitting would hardly separate them, so the cores of
+such buckets are compared block by block at once. Later runs skip buckets whose sets carry one label or are of one core. Links inside the
+classes found are then counted exactly, block against block, without a row per pair.
 """
 
 from __future__ import annotations
@@ -36,11 +37,12 @@ FILTER_BITS = 1 << 23
 class JoinConfig:
     words: int = 5
     threshold: float = 0.8
-    recall: float = 0.999
-    children: float = 3.0  # expected picks of a set at each level
-    levels: int = 4
+    recall: float = 0.995  # of a pair just at the threshold; others, and classes of several links, come out above it
+    children: float = 1.5  # expected picks of a set at each level; sets less alike than 1 / children part level by level
+    levels: int = 5
     bucket: int = 64  # sets that are compared member by member
     block: int = 256  # sets of a block where large groups are compared
+    dense: float = 0.4  # mean similarity to the pivot from which a large bucket is not split but compared
 
     @property
     def runs(self) -> int:
@@ -119,8 +121,9 @@ def shingles(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def signatures(docs: DataFrame, config: JoinConfig) -> DataFrame:
-    """Per text: key (of the n-gram set), size, set (sorted 32-bit n-gram hashes), and picks[run * levels + level]."""
-    slots = config.runs * config.levels
+    """Per text: key (of the n-gram set), size, set (sorted 32-bit n-gram hashes), first (picks of level 1, with their
+    runs) and deeper[run * (levels - 1) + level - 1]."""
+    slots, firsts = config.runs * config.levels, config.runs
     seeds = mix(np.arange(1, slots + 1, dtype=np.uint64) * GOLD) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,28 +132,36 @@ def signatures(docs: DataFrame, config: JoinConfig) -> DataFrame:
             rows = batch.num_rows
             below = (np.minimum(config.children / np.maximum(size, 1), 1.0) * float(1 << 53)).astype(np.uint64)[owner]
             where, token = [], []
-            for slot in range(slots):
+            for slot in range(slots):  # level 1 of all runs, then the deeper levels run by run
                 picked = np.flatnonzero((mix(gram * seeds[slot]) >> np.uint64(11)) <= below)
                 where.append(owner[picked] * slots + slot)
                 token.append(gram[picked] ^ seeds[slot])
             where, token = np.concatenate(where), np.concatenate(token)
             order = np.argsort(where, kind="stable")
-            inner = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=rows * slots))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(inner), pa.array(token[order].view(np.int64)))
-            picks = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * slots), lists)
+            where, token = where[order], token[order].view(np.int64)
+            row, slot = where // slots, where % slots
+            early = slot < firsts
+            begins = np.concatenate([[0], np.cumsum(np.bincount(row[early], minlength=rows))]).astype(np.int32)
+            runs = pa.StructArray.from_arrays([pa.array(slot[early].astype(np.int32)), pa.array(token[early])], names=["run", "path"])
+            first = pa.ListArray.from_arrays(pa.array(begins), runs)
+            cells = row[~early] * (slots - firsts) + slot[~early] - firsts
+            inner = np.concatenate([[0], np.cumsum(np.bincount(cells, minlength=rows * (slots - firsts)))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(inner), pa.array(token[~early]))
+            deeper = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (slots - firsts)), lists)
             small = (gram >> np.uint64(32)).astype(np.uint32)  # the order stays, as these are the upper bits
             ends = np.cumsum(size)
             sets = [small[e - n : e].tobytes() for e, n in zip(ends.tolist(), size.tolist())]
             keys = [xxh3_128_digest(gram[e - n : e].tobytes()) for e, n in zip(ends.tolist(), size.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(size, pa.int64()),
-                 pa.array(sets, pa.binary()), picks],
-                names=["doc_id", "text_hash", "key", "size", "set", "picks"],
+                 pa.array(sets, pa.binary()), first, deeper],
+                names=["doc_id", "text_hash", "key", "size", "set", "first", "deeper"],
             )
 
     whole = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"))
-    schema = "doc_id long, text_hash long, key binary, size long, set binary, picks array<array<long>>"
+    schema = ("doc_id long, text_hash long, key binary, size long, set binary, first array<struct<run: int, path: long>>, "
+              "deeper array<array<long>>")
     return rows.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id())
 
 
@@ -213,44 +224,52 @@ def roots(links: np.ndarray) -> list[int]:
     return root
 
 
-def compared(rows: DataFrame, threshold: float, pivot: bool = False) -> DataFrame:
-    """rows (path, uid, set): edges (a, b), a > b, from each set of a bucket to the first that it is linked to. With
-    `pivot` the bucket is only compared with its first set."""
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.select("path", "uid", "set").repartition("path").sortWithinPartitions("path", "uid")
+
+
+def compared(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows (path, uid, set): edges (a, b), a > b, from each set of a bucket to the first that it is linked to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        if pivot:
-            now, first, t = None, None, Fraction(str(threshold))
-            for batch in batches:
-                for path, uid, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                    if path != now:
-                        now, first = path, (uid, np.frombuffer(packed, np.uint32))
-                        continue
-                    mine = np.frombuffer(packed, np.uint32)
-                    inter = len(np.intersect1d(mine, first[1], assume_unique=True))
-                    if inter * (t.numerator + t.denominator) >= t.numerator * (len(mine) + len(first[1])):
-                        a.append(uid)
-                        b.append(first[0])
-        else:
-            for _, bucket in groups(batches, 1):
-                bucket = sorted(set(bucket))
-                for i, r in enumerate(roots(alike([np.frombuffer(p, np.uint32) for _, p in bucket], threshold))):
-                    if r != i:
-                        a.append(bucket[i][0])
-                        b.append(bucket[r][0])
+        edges = set()
+        for _, bucket in groups(batches, 1):
+            bucket = sorted(set(bucket))
+            links = roots(alike([np.frombuffer(p, np.uint32) for _, p in bucket], threshold))
+            edges.update((bucket[i][0], bucket[r][0]) for i, r in enumerate(links) if r != i)
+        a, b = zip(*sorted(edges)) if edges else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = rows.select("path", "uid", "set").repartition("path").sortWithinPartitions("path", "uid")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt(rows).mapInArrow(run, "a long, b long")
 
 
-def with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds the set of each uid. A bit filter of fixed size (1 MB at most) over the uids wanted keeps most of the other
-    sets out of the shuffle; where it fills up it only lets more through."""
+def to_pivot(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows (path, uid, set): per member of a bucket its similarity to the bucket's first set, and whether it links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, t = None, None, Fraction(str(threshold))
+        for batch in batches:
+            out = []
+            for path, uid, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = np.frombuffer(packed, np.uint32)
+                if path != now:
+                    now, first = path, (uid, mine)
+                inter, both = len(np.intersect1d(mine, first[1], assume_unique=True)), len(mine) + len(first[1])
+                linked = inter * (t.numerator + t.denominator) >= t.numerator * both and uid != first[0]
+                out.append({"path": path, "uid": uid, "pivot": first[0], "linked": linked, "like": inter / (both - inter)})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.int64()), ("uid", pa.int64()), ("pivot", pa.int64()),
+                                                             ("linked", pa.bool_()), ("like", pa.float64())]))
+
+    return dealt(rows).mapInArrow(run, "path long, uid long, pivot long, linked boolean, like double")
+
+
+def with_column(rows: DataFrame, signs: DataFrame, name: str) -> DataFrame:
+    """Adds a column of the signatures by uid. A bit filter of fixed size (1 MB at most) over the uids wanted keeps most
+    of the others out of the shuffle; where it fills up it only lets more through."""
     bit = f"pmod(xxhash64(uid), {FILTER_BITS})"
     word, flag = F.expr(f"cast({bit} div 63 as int)"), F.expr(f"shiftleft(1L, cast({bit} % 63 as int))")
     words = F.broadcast(rows.select(word.alias("word"), flag.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")))
-    few = sets.join(words, word == F.col("word")).where(F.col("bits").bitwiseAND(flag) != 0).select("uid", "set")
+    few = signs.select("uid", name).join(words, word == F.col("word")).where(F.col("bits").bitwiseAND(flag) != 0).select("uid", name)
     return rows.join(few, "uid")
 
 
@@ -274,12 +293,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bucket_sizes(paths: DataFrame) -> DataFrame:
-    """(path, sets) of buckets with more than one set and, where there are labels, more than one label; of buckets with
-    the very same members only one."""
+    """(path, sets) of buckets whose sets carry several labels and are not of one core; of buckets with the very same
+    members only one."""
     out = paths.groupBy("path").agg(
         F.count("*").alias("sets"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("members"),
-        F.min("label").alias("low"), F.max("label").alias("high"),
-    ).where("sets > 1 AND low <> high")
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min("core").alias("first"), F.max("core").alias("last"),
+    ).where("sets > 1 AND low <> high AND first <> last")
     return out.groupBy("sets", "members").agg(F.min("path").alias("path")).select("path", "sets")
 
 
@@ -304,41 +323,49 @@ def linked_classes(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFr
     """
     signs = cut(signatures(docs, config))
     some = signs.where("size > 0")
-    reps = cut(some.groupBy("key").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"), F.min("doc_id").alias("least_doc")))
-    sets = signs.select("uid", "set")
-    mine = some.select("uid", "picks").join(reps.select("uid"), "uid", "left_semi")
-    first = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(config.runs - 1)), lambda r: F.transform(
-        F.col("picks")[r * config.levels], lambda t: F.struct(r.cast("int").alias("run"), t.alias("path")))))
-    level_1 = cut(mine.select("uid", F.explode(first).alias("x")).select("uid", "x.run", "x.path"))
-
-    # Round one: run 0, every set its own label; large buckets only against a pivot.
-    start = level_1.where("run = 0").select("uid", "path", F.col("uid").alias("label"))
+    reps = some.groupBy("key").agg(F.min(F.struct("uid", "first")).alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least_doc"))
+    reps = cut(reps.select("key", "rep.*", "copies", "least_doc"))
+    picked = cut(reps.select("uid", F.explode("first").alias("x")).select("uid", "x.run", "x.path"))
+    met = picked.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")  # most picks are of one set alone
+    level_1 = cut(picked.join(met, "path").select("uid", "run", "path"))
+
+    # The first run, and the large buckets of all runs: every set its own label and core.
+    alone = F.struct(F.lit(0).cast("long").alias("kind"), F.col("uid").alias("of")).alias("core")
+    start = level_1.select("uid", "run", "path", F.col("uid").alias("label"), alone)
     sizes = cut(bucket_sizes(start))
-    small = with_sets(start.join(sizes.where(f"sets <= {config.bucket}").select("path"), "path"), sets)
-    large = with_sets(start.join(sizes.where(f"sets > {config.bucket}").select("path"), "path"), sets)
-    edges = cut(compared(small, config.threshold).union(compared(large, config.threshold, pivot=True)))
+    small = with_column(start.where("run = 0").join(sizes.where(f"sets <= {config.bucket}").select("path"), "path"), signs, "set")
+    near = cut(to_pivot(with_column(start.join(sizes.where(f"sets > {config.bucket}").select("path"), "path"), signs, "set"), config.threshold))
+    dense = near.groupBy("path").agg(F.avg("like").alias("mean")).where(f"mean >= {config.dense}").select("path")
+    # Dense buckets that share sets make one core: all its pairs are compared below, so later runs need none of them.
+    core = cut(components(near.where(f"like >= {config.dense / 2}").join(dense, "path").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))))
+    core = core.select("uid", F.col("label").alias("path"))
+    core_sizes = core.groupBy("path").agg(F.count("*").alias("sets"))
+    inner = blocks(with_column(core.join(core_sizes, "path"), signs, "set"), "sets", config).withColumn("path", F.xxhash64("path", "i", "j"))
+    edges = cut(compared(small, config.threshold).union(near.where("linked").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))).union(
+        compared(inner, config.threshold)))
     labels = components(edges)
 
-    # Later rounds: all runs; only buckets that hold several labels.
-    paths = cut(level_1.join(labels, "uid", "left").select("uid", "run", "path", F.coalesce("label", "uid").alias("label")))
+    # Later runs, and what is left of the first: only buckets that hold several labels and cores.
+    known = level_1.join(labels, "uid", "left").join(core.select("uid", F.col("path").alias("core")), "uid", "left")
+    own = F.struct(F.col("core").isNotNull().cast("long").alias("kind"), F.coalesce("core", "uid").alias("of"))
+    paths = cut(known.select("uid", "run", "path", F.coalesce("label", "uid").alias("label"), own.alias("core")))
     found = [edges]
     for level in range(1, config.levels + 1):
         sizes = cut(bucket_sizes(paths))
         small = paths.join(sizes.where(f"sets <= {config.bucket}").select("path"), "path")
         if level == 1:
             small = small.where("run > 0")
-        found.append(cut(compared(with_sets(small, sets), config.threshold)))
+        found.append(cut(compared(with_column(small, signs, "set"), config.threshold)))
         large = paths.join(sizes.where(f"sets > {config.bucket}"), "path")
         if level == config.levels:
-            rest = blocks(with_sets(large, sets), "sets", config)
+            rest = blocks(with_column(large, signs, "set"), "sets", config)
             found.append(cut(compared(rest.withColumn("path", F.xxhash64("path", "i", "j")), config.threshold)))
             break
         if sizes.where(f"sets > {config.bucket}").isEmpty():
             break
-        next_picks = mine.join(large.select("uid").distinct(), "uid", "left_semi")
-        spread = large.join(next_picks, "uid").select(
-            "uid", "run", "label", "path", F.explode(F.col("picks")[F.col("run") * config.levels + level]).alias("token"))
-        paths = cut(spread.select("uid", "run", "label", F.xxhash64("path", "token").alias("path")))
+        spread = with_column(large, signs, "deeper").select(
+            "uid", "run", "label", "core", "path", F.explode(F.col("deeper")[F.col("run") * (config.levels - 1) + level - 1]).alias("token"))
+        paths = cut(spread.select("uid", "run", "label", "core", F.xxhash64("path", "token").alias("path")))
     everything = found[0]
     for more in found[1:]:
         everything = everything.union(more)
@@ -346,7 +373,7 @@ def linked_classes(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFr
 
     # Exact links inside the classes, block against block.
     sized = classes.join(classes.groupBy("label").agg(F.count("*").alias("sets")), "label")
-    weighted = with_sets(sized.join(reps.select("uid", "copies"), "uid"), sets)
+    weighted = with_column(sized.join(reps.select("uid", "copies"), "uid"), signs, "set")
     dealt = blocks(weighted, "sets", config).select("label", "i", "j", "mine", "uid", "copies", "set")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
