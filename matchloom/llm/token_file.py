@@ -118,18 +118,15 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
         kind = np.where(is2, 0, np.where(is1, 1, 2))
         start = np.where(is2, zero, np.where(is1, order1, order0))
         end = np.where(is2, order1, np.where(is1, order0, whole))
-        part = size[:n] >> SHARE
-        a, r = low[:n], size[:n]
-        a += part * start
-        np.multiply(part, end - start, out=r)
+        a, r, below = low[:n], size[:n], model.below
+        r >>= SHARE
+        a += r * start
+        r *= end - start
+        begun = below.take(now)
+        part = r >> COUNT
+        a += np.where(kind == 2, part * begun, zero)
+        r[:] = np.where(kind == 2, part * (below.take(now + 1) - begun), r)
         shift(everyone[:n], a, r)
-        rest = np.flatnonzero(kind == 2)
-        if len(rest):
-            sym, below = now[rest], model.below
-            part, start = size[rest] >> COUNT, below.take(sym)
-            a, r = low[rest] + part * start, part * (below.take(sym + 1) - start)
-            low[rest], size[rest] = a, r
-            shift(rest, a, r)
         model.learn(now, kind)
     for k in (48, 32, 16, 0):
         where.append(everyone)
@@ -174,28 +171,21 @@ def decode_block(head: np.ndarray, body: bytes) -> np.ndarray:
     for t in range(steps):
         n = lanes if t < int(lengths[-1]) else int(np.searchsorted(-lengths, -t))
         p2, p1, order1, order0 = model.predict(n)
-        a, r = low[:n], size[:n]
-        part = r >> SHARE
-        seen = np.minimum((code[:n] - a) // part, whole - U(1))
+        a, r, below = low[:n], size[:n], model.below
+        r >>= SHARE
+        seen = np.minimum((code[:n] - a) // r, whole - U(1))
         is2, is0 = seen < order1, seen >= order0
         kind = np.where(is2, 0, np.where(is0, 2, 1))
         start = np.where(is2, zero, np.where(is0, order0, order1))
-        end = np.where(is2, order1, np.where(is0, whole, order0))
-        a += part * start
-        np.multiply(part, end - start, out=r)
-        shift(everyone[:n], a, r)
+        a += r * start
+        r *= np.where(is2, order1, np.where(is0, whole, order0)) - start
         now = np.where(is2, p2, p1).astype(np.int64)
-        rest = np.flatnonzero(kind == 2)
-        if len(rest):
-            below, a = model.below, low[rest]
-            part = size[rest] >> COUNT
-            seen = np.minimum((code[rest] - a) // part, below[-1] - U(1))
-            sym = np.searchsorted(below, seen, "right") - 1
-            start = below.take(sym)
-            a, r = a + part * start, part * (below.take(sym + 1) - start)
-            low[rest], size[rest] = a, r
-            now[rest] = sym
-            shift(rest, a, r)
+        rest = np.flatnonzero(is0)
+        part, base = r[rest] >> COUNT, a[rest]
+        sym = np.searchsorted(below, np.minimum((code[rest] - base) // part, below[-1] - U(1)), "right") - 1
+        begun = below.take(sym)
+        a[rest], r[rest], now[rest] = base + part * begun, part * (below.take(sym + 1) - begun), sym
+        shift(everyone[:n], a, r)
         out[begin[:n] + t] = now
         model.learn(now, kind)
     if zlib.crc32(out.astype("<u4").tobytes()) != checksum:
@@ -203,12 +193,25 @@ def decode_block(head: np.ndarray, body: bytes) -> np.ndarray:
     return out
 
 
+#: A word of Latin letters with marks behind it: the tokenizer lower-cases it and splits it between the two.
+WORD_AND_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)").fullmatch
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> tuple[Memo, int]:
+    """Packed ids per chunk, from the library. Chunks that differ in case or in the marks behind share one encoding."""
     tokenizer = Tokenizer.from_file(path)
     encode = tokenizer.encode
-    memo = Memo(lambda chunk: np.array(encode(chunk, add_special_tokens=False).ids, "<u4").tobytes(), bound=300_000)
-    return memo, tokenizer.get_vocab_size()
+    pieces = Memo(lambda piece: np.array(encode(piece, add_special_tokens=False).ids, "<u4").tobytes(), bound=500_000)
+
+    def chunk(text: str) -> bytes:
+        m = WORD_AND_MARKS(text)
+        if m is None:
+            return pieces[text]
+        word, marks = m.groups()
+        return pieces[word.lower()] + pieces[marks] if marks else pieces[word.lower()]
+
+    return Memo(chunk, bound=700_000), tokenizer.get_vocab_size()
 
 
 CHUNKS, SEPARATORS = re.compile(f"[{WHITE}]+"), re.compile("[\x1c-\x1f]")
