@@ -93,7 +93,7 @@ class BytePairs:
         self.runs = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
         white = pattern.replace(r"\S", f"[^{WHITE}]").replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]")
         self.pieces = regex.compile(white).findall
-        self.packed = Memo(self._run)
+        self.packed = Memo(self._run, bound=150_000)
 
     def merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost first. ends[i] is where the part that starts at i ends, 0 once it is swallowed."""

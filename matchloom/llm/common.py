@@ -19,9 +19,16 @@ from matchloom.session import shared_folder
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """Has Spark hand rows to Python in batches of at most so many: whole texts and n-gram sets are long, and a batch is
+    held on both sides. A setting of the session, which changes no result."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the whole text (null: empty), plus the columns named. Every other column is pruned at the scan."""
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 class Memo(dict):
@@ -74,7 +81,7 @@ def open_file(uri: str) -> "pa.NativeFile":
     return system.open_input_file(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 2 << 20, of: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 << 20, of: str = "text") -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of at most so many rows and about so many bytes of text (one row at least), so that a task
     works on a bounded piece of its input at a time."""
     for batch in batches:

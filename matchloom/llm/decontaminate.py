@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import slices, texts
+from matchloom.llm.common import slices, small_batches, texts
 from matchloom.llm.ngram_join import GOLD, mix, words_of
 
 #: ASCII letters and digits and all bytes above ASCII make words.
@@ -218,5 +218,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakCo
                 clean[sorted({k for k, _ in leaks(batch.column("text").fill_null(""), index)})] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

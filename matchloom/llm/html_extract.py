@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import slices
+from matchloom.llm.common import slices, small_batches
 
 PATHS, WORDS, WIDTH, HIDDEN, FIGURES = 1024, 16, 24, 16, 7
 BREAKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
@@ -416,5 +416,5 @@ def main_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
                                              names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

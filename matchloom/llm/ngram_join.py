@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from matchloom.llm.common import slices
+from matchloom.llm.common import slices, small_batches
 from matchloom.session import cut
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -159,7 +159,7 @@ def signatures(docs: DataFrame, config: JoinConfig) -> DataFrame:
             )
 
     whole = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"))
     schema = ("doc_id long, text_hash long, key binary, size long, set binary, first array<struct<run: int, path: long>>, "
               "deeper array<array<long>>")
     return rows.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id())

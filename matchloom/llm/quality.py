@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import Memo, slices
+from matchloom.llm.common import Memo, slices, small_batches
 from matchloom.llm.ngram_join import GOLD, SPACES, mix, words_of
 from matchloom.session import cut
 
@@ -108,7 +108,7 @@ class Fertility:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(n)])
-        self.words = Memo(lambda w: np.array(self.model.encode(w, num_threads=1), "<i4").tobytes(), bound=300_000)
+        self.words = Memo(lambda w: np.array(self.model.encode(w, num_threads=1), "<i4").tobytes(), bound=150_000)
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), "<i4")
@@ -160,7 +160,7 @@ def measured(docs: DataFrame, path: str, config: QualityConfig = QualityConfig()
 
     fields = ", ".join(f.replace(" ", ": ") for f in FIELDS.split(", "))
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{columns}, `{name}` struct<{fields}>")
+    return small_batches(docs).mapInArrow(run, f"{columns}, `{name}` struct<{fields}>")
 
 
 def group_of(text, lang):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import Folder, open_file, slices
+from matchloom.llm.common import Folder, open_file, slices, small_batches
 from matchloom.session import cut
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1.1\r\n"
@@ -80,7 +80,7 @@ def write_archives(pages: DataFrame, level: int = 6) -> DataFrame:
             sink.close()
             yield pa.RecordBatch.from_pylist([{"path": path, "bytes": size, "records": n}])
 
-    return cut(pages.select("record_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "path string, bytes long, records long"))
+    return cut(small_batches(pages).select("record_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "path string, bytes long, records long"))
 
 
 def members(path: str, start: int, stop: int, chunk: int = CHUNK) -> Iterator[bytes]:
