@@ -38,7 +38,7 @@ class QualityConfig:
     spread: float = 6.0  # half width of a band, in interquartile ranges on either side of the median
     usual_tokens: int = 400  # shorter texts get bands wider by the square root of what they lack
     least_widths: tuple[float, float, float] = (0.1, 0.02, 0.05)  # half widths at least, in the order of MEASURES
-    accuracy: int = 10_000  # of the percentiles
+    digits: int = 3  # of the measures in the quartiles: exact, the same in every run, and counted over a bounded grid
 
 
 def bounds_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def judged(rows: DataFrame, config: QualityConfig, q: str = "_quality", group: s
     """Adds base_failed and kept. The bands are quartiles over all rows of a group that pass the base rules."""
     passed = rows.where(~base_failed(q, config))
     quartiles = passed.groupBy(group).agg(*[
-        F.percentile_approx(f"{q}.{m}", F.lit([0.25, 0.5, 0.75]), config.accuracy).alias(m) for m in MEASURES])
+        F.percentile(F.round(f"{q}.{m}", config.digits), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(m) for m in MEASURES])
     bands = cut(quartiles.select(F.col(group).alias("_band"), *MEASURES))
     joined = rows.join(bands, F.col(group) == F.col("_band"), "left")
 
