@@ -178,12 +178,16 @@ def base_failed(q: str, config: QualityConfig):
     return (words < config.least_words) | (100 * repeated > config.most_repeated * words)
 
 
-def judged(rows: DataFrame, config: QualityConfig, q: str = "_quality", group: str = "_group") -> DataFrame:
-    """Adds base_failed and kept. The bands are quartiles over all rows of a group that pass the base rules."""
+def bands_of(rows: DataFrame, config: QualityConfig, q: str = "_quality", group: str = "_group") -> DataFrame:
+    """Quartiles of the measures per group, over all rows that pass the base rules."""
     passed = rows.where(~base_failed(q, config))
     quartiles = passed.groupBy(group).agg(*[
         F.percentile(F.round(f"{q}.{m}", config.digits), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(m) for m in MEASURES])
-    bands = cut(quartiles.select(F.col(group).alias("_band"), *MEASURES))
+    return cut(quartiles.select(F.col(group).alias("_band"), *MEASURES))
+
+
+def judged(rows: DataFrame, bands: DataFrame, config: QualityConfig, q: str = "_quality", group: str = "_group") -> DataFrame:
+    """Adds base_failed and kept."""
     joined = rows.join(bands, F.col(group) == F.col("_band"), "left")
 
     short = F.sqrt(F.greatest(F.lit(1.0), F.lit(config.usual_tokens) / F.greatest(F.col(f"{q}.n_tokens"), F.lit(1))))
@@ -206,11 +210,12 @@ def quality(docs: DataFrame, path: str, config: QualityConfig = QualityConfig())
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), group_of(text, F.col("lang")).alias("_group"))
     small = cut(measured(rows, path, config).drop("text"))
-    return judged(small, config).select("doc_id", "_quality.*", "base_failed", "kept")
+    return judged(small, bands_of(small, config), config).select("doc_id", "_quality.*", "base_failed", "kept")
 
 
 def good_documents(docs: DataFrame, path: str, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """The rows of `docs`, with all their columns, that `quality` keeps. Each text is measured once."""
+    """The rows of `docs`, with all their columns, that `quality` keeps. Texts are measured twice, for the bands and for the
+    verdict, so that no second copy of them has to be stored."""
     marked = docs.withColumn("_group", group_of(F.coalesce(F.col("text"), F.lit("")), F.col("lang")))
-    whole = cut(measured(marked, path, config))
-    return judged(whole, config).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bands = bands_of(measured(marked.select("text", "_group"), path, config), config)
+    return judged(measured(marked, path, config), bands, config).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
