@@ -292,14 +292,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("uid"), F.col("b").alias("label")).union(edges.select("b", "b").distinct())
 
 
-def bucket_sizes(paths: DataFrame) -> DataFrame:
+def bucket_sizes(paths: DataFrame, split_above: int | None = None) -> DataFrame:
     """(path, sets) of buckets whose sets carry several labels and are not of one core; of buckets with the very same
-    members only one."""
+    members only one. Buckets of more than `split_above` sets are split by the picks of their run, so of those one per
+    run stays: each run is a try of its own."""
+    own = F.lit(-1) if split_above is None else F.when(F.col("sets") > split_above, F.col("run")).otherwise(-1)
     out = paths.groupBy("path").agg(
-        F.count("*").alias("sets"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("members"),
+        F.count("*").alias("sets"), F.min("run").alias("run"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("members"),
         F.min("label").alias("low"), F.max("label").alias("high"), F.min("core").alias("first"), F.max("core").alias("last"),
     ).where("sets > 1 AND low <> high AND first <> last")
-    return out.groupBy("sets", "members").agg(F.min("path").alias("path")).select("path", "sets")
+    return out.groupBy("sets", "members", own.alias("own")).agg(F.min("path").alias("path")).select("path", "sets")
 
 
 def blocks(rows: DataFrame, size: str, config: JoinConfig) -> DataFrame:
@@ -351,7 +353,7 @@ def linked_classes(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFr
     paths = cut(known.select("uid", "run", "path", F.coalesce("label", "uid").alias("label"), own.alias("core")))
     found = [edges]
     for level in range(1, config.levels + 1):
-        sizes = cut(bucket_sizes(paths))
+        sizes = cut(bucket_sizes(paths, config.bucket if level < config.levels else None))
         small = paths.join(sizes.where(f"sets <= {config.bucket}").select("path"), "path")
         if level == 1:
             small = small.where("run > 0")

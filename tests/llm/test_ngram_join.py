@@ -68,6 +68,26 @@ def test_against_brute_force(spark, config):
     assert got == want
 
 
+def hot_passages(seed=9, hot=5, holders=80):
+    """Pairs of near copies (Jaccard 0.818) made of two passages that many other texts hold as well, so that every
+    n-gram the two share is one of a hot passage, with the same holders in every run."""
+    r = random.Random(seed)
+    say = lambda n: [r.choice(VOCABULARY) for _ in range(n)]
+    left, right = [say(98) for _ in range(hot)], [say(90) for _ in range(hot)]
+    texts = [" ".join(p + say(106)) for p in left + right for _ in range(holders)]
+    texts += [" ".join(a + say(8) + b + say(8)) for a in left for b in right for _ in range(2)]
+    return texts
+
+
+def test_near_copies_of_two_hot_passages(spark):
+    texts = hot_passages()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_force(list(enumerate(texts)))
+    assert sum(n for _, n in want) == 2 * 25
+    found = {r.doc_id: (r.class_id, r.n_links) for r in linked_classes(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+
+
 def test_one_of_each(spark):
     docs = documents(spark, varied())
     kept = one_of_each(docs)
