@@ -30,12 +30,14 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(script|style|noscript|template|textarea|title|iframe|svg|math|canvas|object|audio|video)\b[^>]*+>.*?(?:</\1\s*>|\Z)
+    |<(script|style|textarea|title)(?=[\s/>])[^>]*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)
+    |<(noscript|template|iframe|svg|math|canvas|object|audio|video)(?=[\s/>])(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>
     |<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>
     |<[!?/][^>]*+(?:>|\Z)""",
     re.S | re.I | re.X,
 )
+ENDS = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*+>", re.I) for n in "noscript template iframe svg math canvas object audio video".split()}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|itemprop|aria-label)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PART = re.compile(r"[a-z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
@@ -64,12 +66,15 @@ def marks(tag: str, attributes: str) -> tuple[int, ...]:
 
 def blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
     """(text, path slots, share of link text) of every leaf block with text, in page order. Character references are
-    decoded and white space is one space; comments, scripts, styles and other raw elements hold no text."""
+    decoded and white space is one space; comments, scripts, styles and other raw elements hold no text. Only script,
+    style, textarea and title run to the end of the page where their end tag is missing; of the others without one, or
+    ending in "/>", the tag alone is dropped."""
     out: list[tuple[str, tuple[int, ...], float]] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
     held: list[str] = []
     linked = links_open = 0
     at = 0
+    endless: set[str] = set()  # raw elements that no end tag follows any more
 
     def path() -> tuple[int, ...]:
         return tuple(dict.fromkeys(s for _, element in stack for s in element))
@@ -87,13 +92,21 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
         links_open -= sum(1 for tag, _ in stack[depth:] if tag == "a")
         del stack[depth:]
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             held.append(piece)
             linked += len(piece) if links_open else 0
         at = m.end()
-        end, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        if m[2]:
+            name = m[2].lower()
+            if page[at - 2] != "/" and name not in endless:
+                if over := ENDS[name].search(page, at):
+                    at = over.end()
+                else:
+                    endless.add(name)
+            continue
+        end, tag, attributes = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8])
         if tag is None:
             continue
         tag = tag.lower()

@@ -18,6 +18,19 @@ def test_blocks():
     assert [t for t, _, _ in hx.blocks('<p title="open>text</p>after')][-1].endswith("after")
 
 
+@pytest.mark.parametrize("inner", [
+    "<svg class=i/>", "<iframe src='a>b' />", "<object data=x>", "<video src=x>", "<video-player src=x></video-player>", "<object-card>",
+    "<title-bar></title-bar>", "<svg><title>no</title></svg>", "<VIDEO a='>'>no</Video >", "<math/><math>no</math>", "<script>no<svg></script >",
+])
+def test_raw_elements_end(inner):
+    assert [t for t, _, _ in hx.blocks(f"<p>one</p>{inner}<p>two</p><p>three</p>")] == ["one", "two", "three"]
+
+
+@pytest.mark.parametrize("name", ["script", "style", "textarea", "title"])
+def test_raw_elements_to_the_end_of_the_page(name):
+    assert [t for t, _, _ in hx.blocks(f"<p>one</p><{name}>no<p>two</p>")] == ["one"]
+
+
 def test_gradients():
     grammar = hx.Grammar(1)
     made = [grammar.page() for _ in range(3)]
