@@ -2,8 +2,8 @@
 
 Items are cut into blocks of the index; each posting list keeps the largest impact per block. A passage is first bounded
 by the largest impacts of its terms, then per block by the block maxima, and only blocks whose bound reaches the
-threshold are scored. All passages of a slice go through each step together. Impacts are divided by the score of the
-item with itself, so that one threshold serves items of all lengths. What is retrieved must then show the item's
+threshold are scored. All passages of a slice go through each step together. Impacts are divided by the best score that
+a passage cut from the item itself can reach, so that one threshold serves items of all lengths. What is retrieved must then show the item's
 question (its n-grams) and its answer (its words) near the passage.
 """
 
@@ -29,7 +29,7 @@ HITS = "doc_id long, item_id long, score double, question_overlap double, answer
 @dataclass(frozen=True)
 class LeakConfig:
     passage: int = 64  # words of a passage; the next one starts after half of them
-    score: float = 0.35  # BM25 of the passage over that of the item with itself
+    score: float = 0.35  # BM25 of the passage over that of the item's best passage, which is the whole item if it is no longer
     question: float = 0.4  # share of the question's n-grams near the passage
     answer: float = 0.5  # share of the answer's words near the passage
     words: int = 3
@@ -49,13 +49,17 @@ class Index:
         owner = np.repeat(np.arange(len(items)), length)
         self.terms, term = np.unique(hashes, return_inverse=True)
         n_items, n_terms = len(items), len(self.terms)
-        pair, tf = np.unique(term * n_items + owner, return_counts=True)
+        pair, at, tf = np.unique(term * n_items + owner, return_inverse=True, return_counts=True)
         term, item = pair // n_items, pair % n_items
         df = np.bincount(term, minlength=n_terms)
         idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
         norm = config.k1 * (1 - config.b + config.b * length / max(1.0, length.mean() if n_items else 1.0))
         impact = idf[term] * tf * (config.k1 + 1) / (tf + norm[item])
         own = np.bincount(item, weights=impact, minlength=n_items)
+        long = np.flatnonzero(length > config.passage)
+        if len(long):
+            scores = passage_scores(at, impact, bounds[:-1][owner], config.passage)
+            own[long] = [scores[a:z].max() for a, z in zip(bounds[long], bounds[long + 1])]
         impact = impact / own[item]
         self.starts = np.searchsorted(term, np.arange(n_terms + 1))
         self.items, self.impacts = item, impact
@@ -102,6 +106,20 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def passage_scores(pair: np.ndarray, impact: np.ndarray, begin: np.ndarray, passage: int) -> np.ndarray:
+    """Sum of the impacts of the distinct terms of the passage that starts at each word. pair: the (term, item) of every
+    word, begin: where its item begins. A word counts in the passages that reach it and hold no earlier one of its kind."""
+    n = len(pair)
+    order = np.argsort(pair, kind="stable")
+    before = np.full(n, -1, np.int64)
+    same = pair[order][1:] == pair[order][:-1]
+    before[order[1:][same]] = order[:-1][same]
+    here = np.arange(n)
+    first = np.maximum(np.maximum(before + 1, here - passage + 1), begin)
+    change = np.bincount(first, weights=impact[pair], minlength=n + 1) - np.bincount(here + 1, weights=impact[pair], minlength=n + 1)
+    return np.cumsum(change)[:n]
+
+
 def spread(starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For posting lists of the keys: (position among keys, position in the lists) of every posting."""
     n = starts[keys + 1] - starts[keys]
@@ -183,7 +201,7 @@ def shards(items: DataFrame, config: LeakConfig) -> Iterator[Index]:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
-    """One row per document and test item found in it: doc_id, item_id, score (BM25 over the item's own), question_overlap,
+    """One row per document and test item found in it: doc_id, item_id, score (BM25 over that of the item's best passage), question_overlap,
     answer_overlap, passage_start (in words).
 
     Texts are compared in lower case by runs of letters and digits. A null or empty text holds nothing; repeated rows

@@ -64,6 +64,33 @@ def test_leaks(spark):
     assert decontaminate.without_leaks(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_leaks_of_long_items(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) for _ in range(20_000)]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, f"{say(n)}?\n{say(r.randint(3, 12))}.") for i, n in enumerate([60, 70, 90, 120, 150, 200, 250, 300, 400, 500, 700, 1000])]
+    texts = [f"{say(r.randint(0, 300))} {t} {say(r.randint(0, 300))}" for _ in range(3) for _, t in items]
+    texts += [f"{say(100)} {t.split('?')[0]} {say(100)}" for _, t in items] + [say(800) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, k % len(items)) for k in range(3 * len(items))}  # a question alone is not enough
+    assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).collect()} == want
+    assert decontaminate.without_leaks(docs, bench).count() == len(texts) - len(want)
+
+
+def test_best_passage_of_an_item():
+    r = random.Random(9)
+    items = [(i, " ".join(f"w{r.randint(0, 99)}" for _ in range(n))) for i, n in enumerate([1, 7, 8, 9, 30, 200])]
+    index = decontaminate.Index(items, decontaminate.LeakConfig(passage=8))
+    for i, text in items:
+        words = text.split()
+        hashes, _ = decontaminate.words_of(pa.array(words), decontaminate.APART)
+        impact = {t: index.impacts[p] for t in range(len(index.terms)) for p in range(index.starts[t], index.starts[t + 1]) if index.items[p] == i}
+        terms = index.lookup(hashes).tolist()
+        best = max(sum(impact[t] for t in set(terms[k : k + 8])) for k in range(max(1, len(words) - 7)))
+        assert abs(best - 1) < 1e-9
+
+
 def test_block_bounds_lose_no_item():
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(300)]
