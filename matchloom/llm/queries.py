@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import byte_bpe, decontaminate, html_extract, license_scan, ngram_join, quality, token_counts, token_file, url_filter, warc
+from matchloom.llm import byte_bpe, decontaminate, html_extract, license_scan, merkle, ngram_join, quality, token_counts, token_file, url_filter, warc
 from matchloom.sources.tables import table
 
 WORD_BPE, MULTI_BPE, PIECES = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -102,3 +102,46 @@ FROM r
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=1000)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Root of the corpus by a recursive tree per source; only the last bit of the crc32 is needed, bit by bit over the digits.
+ORACLES["op13_merkle_manifest"] = """
+WITH RECURSIVE
+d AS (SELECT doc_id, source, lang, n_chars, text,
+             list_reduce(list_concat([4294967295], flatten([[(ascii(c) >> b) & 1 FOR b IN range(8)] FOR c IN string_split(doc_id::VARCHAR, '')])),
+                         lambda c, b: xor(c >> 1, xor(c & 1, b) * 3988292384)) % 2 = 1 AS tampered FROM documents),
+f AS (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+             CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS changed FROM d),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS altered FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+n AS (SELECT source, 0 AS lvl, pos, leaf AS digest, count(*) OVER (PARTITION BY source) AS wide FROM p
+      UNION ALL
+      SELECT source, lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (max(wide) + 2) // 3 FROM n WHERE wide > 1 GROUP BY source, lvl, pos // 3),
+r AS (SELECT source, digest, row_number() OVER (ORDER BY encode(coalesce('=' || source, ''))) - 1 AS pos, lvl AS height FROM n WHERE wide = 1),
+o AS (SELECT 0 AS lvl, pos, digest, count(*) OVER () AS wide FROM r
+      UNION ALL
+      SELECT lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (max(wide) + 2) // 3 FROM o WHERE wide > 1 GROUP BY lvl, pos // 3),
+a AS (SELECT source, lvl, pos, lvl AS step, digest FROM n WHERE wide > 1),
+w AS (SELECT source, lvl, pos, coalesce(lag(digest, 2) OVER g, '') AS l2, coalesce(lag(digest) OVER g, '') AS l1,
+             coalesce(lead(digest) OVER g, '') AS r1, coalesce(lead(digest, 2) OVER g, '') AS r2 FROM a WINDOW g AS (PARTITION BY source, lvl, pos // 3 ORDER BY pos)),
+v AS (SELECT lvl, pos, coalesce(lag(digest, 2) OVER g, '') AS l2, coalesce(lag(digest) OVER g, '') AS l1,
+             coalesce(lead(digest) OVER g, '') AS r1, coalesce(lead(digest, 2) OVER g, '') AS r2 FROM o WHERE wide > 1 WINDOW g AS (PARTITION BY lvl, pos // 3 ORDER BY pos)),
+up AS (SELECT p.doc_id, p.leaf, p.altered, p.source, p.pos, 0 AS lvl, p.altered AS acc, '' AS proof, r.height, r.pos AS place, r.digest AS subroot
+       FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source
+       UNION ALL
+       SELECT up.doc_id, leaf, altered, up.source, up.pos // 3, up.lvl + 1, sha256(l2 || l1 || acc || r1 || r2), proof || l2 || l1 || r1 || r2, height, place, subroot
+       FROM up JOIN w ON up.source IS NOT DISTINCT FROM w.source AND up.lvl = w.lvl AND up.pos = w.pos WHERE up.lvl < height),
+top AS (SELECT doc_id, leaf, subroot, place AS pos, 0 AS lvl, acc, proof FROM up WHERE lvl = height
+        UNION ALL
+        SELECT doc_id, leaf, subroot, top.pos // 3, top.lvl + 1, sha256(l2 || l1 || acc || r1 || r2), proof || l2 || l1 || r1 || r2
+        FROM top JOIN v ON top.lvl = v.lvl AND top.pos = v.pos)
+SELECT doc_id, leaf, subroot, o.digest AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = o.digest AS verified
+FROM top JOIN o ON o.wide = 1 AND top.lvl = o.lvl
+"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
