@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import byte_bpe, decontaminate, html_extract, license_scan, merkle, ngram_join, quality, token_counts, token_file, url_filter, warc
+from matchloom.llm import byte_bpe, decontaminate, filter_audit, html_extract, license_scan, merkle, ngram_join, quality, secret_scan, token_counts, token_file, url_filter, warc
 from matchloom.sources.tables import table
 
 WORD_BPE, MULTI_BPE, PIECES = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -104,6 +104,44 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+ORACLES["op11_filter_audit"] = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+             length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS upper, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+g AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * upper > 10 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN w.doc_id > least THEN 'E' ELSE '' END AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM w LEFT JOIN g ON w.doc_id = g.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS ord FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT ord, k, substr(ord, k, 1) AS f, substr(ord, 1, k - 1) AS earlier FROM o, range(1, 6) r(k)),
+j AS (SELECT *, contains(fails, f) AS hit, earlier <> '' AND regexp_matches(fails, '[' || earlier || '.]') AS gone FROM c, s),
+r AS (SELECT part, ord AS filter_order, k::INT AS step, f, sum(n) FILTER (NOT gone AND NOT hit) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed,
+             sum(n) FILTER (hit AND gone) AS redundant, sum(n) FILTER (fails = f) AS unique_fails,
+             sum(good) FILTER (hit AND NOT gone) AS good_lost, sum(toxic) FILTER (hit AND NOT gone) AS toxic_lost FROM j GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+FROM r
+"""
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, of_kind, listed = secret_scan.secrets(table(spark, sf_dir, "documents")), secret_scan.of_kind, secret_scan.listed
+    base = of_kind(F.col("spans"), "assign", "access", "hex")
+    counts = [F.size(of_kind(F.col("spans"), k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "novel")]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 #: Root of the corpus by a recursive tree per source; only the last bit of the crc32 is needed, bit by bit over the digits.
 ORACLES["op13_merkle_manifest"] = """
 WITH RECURSIVE

@@ -16,7 +16,7 @@ def test_sql_twin(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "documents"):
+    for t in ("pages", "documents", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     cursor = con.execute(ORACLES[name])
     names = [d[0] for d in cursor.description]
@@ -26,7 +26,7 @@ def test_sql_twin(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark):
