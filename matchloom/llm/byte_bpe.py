@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from matchloom.llm.common import WHITE, Memo, slices, texts
 
 MIX, WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 class PerfectHash:
@@ -89,8 +90,11 @@ class BytePairs:
         for entry, i in self.ranks.items():
             self.bytes_of[i] = entry
         self.packed_id = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
-        # A run of non-space characters with the space before it splits the same way wherever it stands.
-        self.runs = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
+        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.starts, self.flat = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        # A run of non-space characters with the space before it splits the same way wherever it stands, and so do the
+        # Latin letters at its begin and the marks behind them.
+        self.runs = re.compile(f" ?[{LATIN}]+(?=[\\t-\\r -@\\[-`{{-~]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
         white = pattern.replace(r"\S", f"[^{WHITE}]").replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]")
         self.pieces = regex.compile(white).findall
         self.packed = Memo(self._run, bound=150_000)
@@ -99,10 +103,12 @@ class BytePairs:
         """Lowest rank first, leftmost first. ends[i] is where the part that starts at i ends, 0 once it is swallowed."""
         n, ranks = len(piece), self.ranks
         ends, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(ranks[piece[i : i + 2]], i, i + 2) for i in range(n - 1) if piece[i : i + 2] in ranks]
+        wide = n + 1  # a heap entry is one number: rank, start and end of the pair
+        heap = [(ranks[piece[i : i + 2]] * wide + i) * wide + i + 2 for i in range(n - 1) if piece[i : i + 2] in ranks]
         heapify(heap)
         while heap:
-            _, i, end = heappop(heap)
+            entry = heappop(heap)
+            end, i = entry % wide, entry // wide % wide
             middle = ends[i]
             if not middle or middle >= n or ends[middle] != end:
                 continue
@@ -111,12 +117,12 @@ class BytePairs:
                 prev[end] = i
                 rank = ranks.get(piece[i : ends[end]])
                 if rank is not None:
-                    heappush(heap, (rank, i, ends[end]))
+                    heappush(heap, (rank * wide + i) * wide + ends[end])
             before = prev[i]
             if before >= 0:
                 rank = ranks.get(piece[before:end])
                 if rank is not None:
-                    heappush(heap, (rank, before, end))
+                    heappush(heap, (rank * wide + before) * wide + end)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : ends[i]]])
@@ -135,8 +141,12 @@ class BytePairs:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.packed.__getitem__, self.runs(text)))
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+    def decode(self, packed: bytes) -> np.ndarray:
+        """The bytes that the ids stand for."""
+        ids = np.frombuffer(packed, "<u4")
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 @lru_cache(maxsize=2)
@@ -149,7 +159,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     that the ids stand for.
 
     A null text counts as empty: no ids, no bytes. A null doc_id stays null, repeated rows stay rows, other columns are
-    not read, an empty table gives an empty result. No shuffle; a task holds 256 texts at a time.
+    not read, an empty table gives an empty result. No shuffle; a task holds
+    256 texts or about a megabyte at a time, or one longer text with some twenty times its bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +169,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [codec.encode(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()),
-                 pa.array([codec.decode(i) for i in ids], pa.binary())],
+                 pa.array([codec.decode(i).tobytes() for i in ids], pa.binary())],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
 
