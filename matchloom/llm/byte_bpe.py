@@ -23,6 +23,7 @@ from matchloom.llm.common import WHITE, Memo, slices, texts
 
 MIX, WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+LETTERS = re.compile(f" ?[{LATIN}]+").fullmatch  # one pre-token
 
 
 class PerfectHash:
@@ -135,7 +136,8 @@ class BytePairs:
 
     def _run(self, run: str) -> bytes:
         packed = self.packed_id
-        return b"".join([packed[i] for p in self.pieces(run) for i in self.piece(p.encode())])
+        pieces = [run] if LETTERS(run) else self.pieces(run)
+        return b"".join([packed[i] for p in pieces for i in self.piece(p.encode())])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

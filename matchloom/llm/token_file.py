@@ -316,7 +316,8 @@ def read_ids(files: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 yield one(row["path"], row["base"])
 
-    return listed.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A number keeps adaptive execution from merging the few rows of the list, and with them the reading, into one task.
+    return listed.repartition(max(1, listed.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

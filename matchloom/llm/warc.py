@@ -125,8 +125,10 @@ def members(path: str, start: int, stop: int, chunk: int = CHUNK) -> Iterator[by
                 at += 1
 
 
-def read_archives(archives: DataFrame, split: int = 4 << 20) -> DataFrame:
-    """Every record of the archives listed (path, bytes), by byte ranges of `split` dealt over the cluster."""
+def read_archives(archives: DataFrame, split: int = 4 << 20, most_tasks: int = 20_000) -> DataFrame:
+    """Every record of the archives listed (path, bytes), by byte ranges of `split` dealt evenly over the cluster: a task
+    per range, or `most_tasks` tasks. A given number is not merged by adaptive execution, which only sees a short list."""
+    tasks = archives.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0).cast("long")), F.lit(split).cast("long"))
     ranges = archives.where("bytes > 0").select("path", "bytes", F.explode(starts).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split, "bytes").alias("stop"))
@@ -146,7 +148,7 @@ def read_archives(archives: DataFrame, split: int = 4 << 20) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return ranges.repartition("path", "start").mapInArrow(run, RECORDS)
+    return ranges.repartition(min(int(tasks), most_tasks)).mapInArrow(run, RECORDS)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:

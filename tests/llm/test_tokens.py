@@ -84,3 +84,15 @@ def test_token_files(spark, monkeypatch):
         start += len(ids)
     assert got == sorted(want)
     assert token_file.token_files(none(spark), WORD).collect() == []
+
+
+def test_files_are_read_in_many_tasks(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 300) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = token_file.write_ids(docs, WORD, 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert files.count() > 4
+    back = token_file.read_ids(files)
+    assert back.count() == 3000 and back.selectExpr("spark_partition_id() AS task").distinct().count() == files.count()

@@ -56,3 +56,9 @@ def test_every_cut_gives_each_record_once(tmp_path):
         found = [warc.parsed(raw) for a in range(0, size, step) for raw in warc.members(f"file://{path}", a, min(a + step, size), chunk=128)]
         assert [f["record_id"] for f in found] == [f"urn:page:{k}" for k in range(len(payloads))]
         assert [f["payload"] for f in found] == payloads
+
+
+def test_ranges_are_read_in_many_tasks(spark):
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('http://', id) AS url", "repeat(concat(id, sha2(cast(id AS string), 512)), 20) AS html")
+    back = warc.round_trip(pages.repartition(3), 1000, split=4096)
+    assert back.count() == 400 and back.selectExpr("spark_partition_id() AS task").distinct().count() > 8
