@@ -1,4 +1,4 @@
-"""Evidence and wording for ranked pairs. Rank first, explain after: only the rows that are shown are explained."""
+"""Evidence and wording for every scored pair."""
 
 from __future__ import annotations
 
@@ -85,67 +85,78 @@ def _overlap(q: Column, t: Column) -> Column:
     return F.when((F.size(q) == 0) | (F.size(t) == 0), 0.0).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
 
 
-def snippet_relevance(wanted: DataFrame, pieces: DataFrame, ratio: bool = True) -> DataFrame:
-    """wanted(job_id, candidate_id, queries) with the candidate's pieces: best query and relevance per piece.
+def snippet_relevance(
+    wanted: DataFrame, pieces: DataFrame, ratio: bool = True, similarity: DataFrame | None = None, least: float = MIN_RELEVANCE,
+) -> DataFrame:
+    """wanted(job_id, candidate_id, queries) with the candidate's pieces: best query and relevance of every piece that
+    reaches `least` (above 0).
 
-    A record has at most 24 queries and some 60 capped pieces, so its combinations are few. Features of queries and
-    texts are computed once per distinct string; ratios once per distinct (query, text) that could reach the minimum.
+    A query is searched once per candidate, whichever of the candidate's jobs ask it. Words find a piece through an index of the
+    candidate's own tokens (a pair of query and piece comes out of the first token that they share), so pieces without a
+    common word are never met. With ``ratio``, pairs whose lengths allow it are also compared by sequence, once per
+    distinct query and text. ``similarity`` (l: query, r: text, sim) adds given values, such as the composite similarity of
+    embedded queries and texts.
     """
-    feats = ["c", "toks", "short", "initials"]
-
-    def features_of(strings: DataFrame) -> DataFrame:
-        f = sm.features(strings.distinct())
-        return f.withColumn("search", search_tokens(F.col("term")))
-
     q = wanted.select(*PAIR, F.posexplode("queries").alias("qi", "query"))
-    qf = features_of(q.select(F.col("query").alias("term")))
-    tf = features_of(pieces.select(F.col("text").alias("term")))
-    qs = qf.select(F.col("term").alias("query"), *[F.col(x).alias(f"q_{x}") for x in [*feats, "search"]])
-    ts = tf.select(F.col("term").alias("text"), *[F.col(x).alias(f"t_{x}") for x in [*feats, "search"]])
-    rows = q.join(pieces, "candidate_id")
-    texts = rows.select("query", "text").distinct().join(qs, "query").join(ts, "text")
-    acronym = (F.col("q_short") == F.col("t_initials")) | (F.col("t_short") == F.col("q_initials"))
-    base = F.when(F.col("q_c") == F.col("t_c"), 1.0).when(F.coalesce(acronym, F.lit(False)), 0.92)
-    texts = texts.withColumn("flat", base).withColumn(
-        "words", F.greatest(_overlap(F.col("q_search"), F.col("t_search")), F.coalesce("flat", sm.token_value(F.col("q_toks"), F.col("t_toks"))))
-    )
+    asked = q.select("candidate_id", "query").distinct()
+
+    def featured(rows: DataFrame, name: str, mark: str) -> DataFrame:
+        f = sm.features(rows.select(F.col(name).alias("term")).distinct()).withColumn("search", search_tokens(F.col("term")))
+        f = f.select(F.col("term").alias(name), *[F.col(x).alias(f"{mark}_{x}") for x in ("c", "toks", "short", "initials", "search")])
+        return rows.join(f, name)
+
+    qs = featured(asked, "query", "q").withColumn("q_keys", F.array_union("q_toks", "q_search"))
+    ts = featured(pieces, "text", "t").withColumn("t_keys", F.array_union("t_toks", "t_search"))
+    place = ["candidate_id", "query", "ord", "source", "text"]
+    first = F.get(F.array_intersect("q_keys", "t_keys"), F.lit(0)) == F.col("k")
+    shared = qs.withColumn("k", F.explode("q_keys")).join(ts.withColumn("k", F.explode("t_keys")), ["candidate_id", "k"]).where(first)
+    words = F.greatest(_overlap(F.col("q_search"), F.col("t_search")), sm.token_value(F.col("q_toks"), F.col("t_toks")))
+    found = shared.select(*place, F.when(F.col("q_c") == F.col("t_c"), 1.0).otherwise(words).alias("score"))
+    flat = [qs.join(ts, (qs["candidate_id"] == ts["candidate_id"]) & (F.col(a) == F.col(b)) & (F.col("q_c") != F.col("t_c"))).select(
+        qs["candidate_id"], "query", "ord", "source", "text", F.lit(0.92).alias("score")) for a, b in (("q_short", "t_initials"), ("t_short", "q_initials"))]
+    found = found.union(flat[0]).union(flat[1])
     if ratio:
         n, m = F.length("q_c"), F.length("t_c")
-        bound = 2 * F.least(n, m) / (n + m)
-        open_ = F.col("flat").isNull() & (bound >= MIN_RELEVANCE - 0.0005) & (bound > F.col("words"))
-        done = texts.where(~open_).select("query", "text", F.col("words").alias("score"))
-        seq = texts.where(open_).select("query", "text", F.greatest("words", sm.sequence_ratio("q_c", "t_c")["sim"]).alias("score"))
-        scored = done.union(seq)
-    else:
-        scored = texts.select("query", "text", F.col("words").alias("score"))
+        may = (2 * F.least(n, m) / (n + m) >= least - 0.0005) & (F.col("q_c") != F.col("t_c"))
+        open_ = qs.select("candidate_id", "query", "q_c").join(ts.select("candidate_id", "ord", "source", "text", "t_c"), "candidate_id").where(may)
+        each = open_.select("q_c", "t_c").distinct().select("q_c", "t_c", sm.sequence_ratio("q_c", "t_c")["sim"].alias("score"))
+        found = found.union(open_.join(each.where(F.col("score") >= least - 0.0005), ["q_c", "t_c"]).select(*place, "score"))
+    if similarity is not None:
+        given = asked.join(similarity.select(F.col("l").alias("query"), F.col("r").alias("text"), F.col("sim").alias("score")), "query")
+        found = found.union(given.join(pieces, ["candidate_id", "text"]).select(*place, "score"))
+    scored = found.where(F.col("score") >= least - 0.0005).groupBy(*place).agg(F.max("score").alias("score"))
     best = F.max(F.struct("score", (-F.col("qi")).alias("n"), "query"))
     return (
-        rows.join(scored, ["query", "text"]).groupBy(*PAIR, "ord", "source", "text").agg(best.alias("b"))
+        q.join(scored, ["candidate_id", "query"]).groupBy(*PAIR, "ord", "source", "text").agg(best.alias("b"))
         .select(*PAIR, "ord", "source", "text", F.col("b.query").alias("matched_query"),
                 F.least(tx.half_even(F.col("b.score"), 3), F.lit(1.0)).alias("relevance"))
+        .where(F.col("relevance") >= least)
     )
 
 
 def top_evidence(relevant: DataFrame, n: int = 6) -> DataFrame:
     w = Window.partitionBy(*PAIR).orderBy(F.desc("relevance"), "source", "text", "ord")
-    kept = relevant.where(F.col("relevance") >= MIN_RELEVANCE)
-    return kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return relevant.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def reasoning_context(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
-    """Fit band, queries, best evidence, impact evidence (first four) and gap evidence per ranked pair."""
+def impact_evidence(pieces: DataFrame, n: int = 4) -> DataFrame:
+    """The first pieces of each candidate that state a measured effect, whatever the job."""
+    rows = pieces.where(F.col("source").isin("experience_highlight", "project") & F.col("text").rlike(fv.EVIDENCE_IMPACT))
+    w = Window.partitionBy("candidate_id").orderBy("ord")
+    return rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).groupBy("candidate_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("impact_evidence"))
+
+
+def reasoning_context(scored: DataFrame, relevant: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Fit band, queries, best evidence, impact evidence (first four) and gap evidence per scored pair."""
     best = top_evidence(relevant).groupBy(*PAIR).agg(
         F.array_sort(F.collect_list(F.struct("place", "source", "text", "matched_query", "relevance"))).alias("retrieved"))
-    impact_rows = relevant.where(F.col("source").isin("experience_highlight", "project") & F.col("text").rlike(fv.EVIDENCE_IMPACT))
-    w = Window.partitionBy(*PAIR).orderBy("ord")
-    impact = impact_rows.withColumn("k", F.row_number().over(w)).where("k <= 4").groupBy(*PAIR).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("impact_evidence"))
     gaps = F.when(F.size("critical") > 0, F.array(F.concat(F.lit("Critical missing skills: "), F.array_join(F.slice("critical", 1, 6), ", ")))).when(
         F.size("missing") > 0, F.array(F.concat(F.lit("Missing required skills: "), F.array_join(F.slice("missing", 1, 6), ", ")))
     ).otherwise(tx.strings([]))
     more = tx.let(gaps, lambda g: F.slice(tx.distinct_ignoring_case(F.concat(g, tx.unique_compact(F.slice("risks", 1, 3)))), 1, 5))
     empty = F.array().cast("array<struct<place: int, source: string, text: string, matched_query: string, relevance: double>>")
-    return ranked.join(best, PAIR, "left").join(impact, PAIR, "left").withColumns({
+    return scored.join(best, PAIR, "left").join(impact_evidence(pieces), "candidate_id", "left").withColumns({
         "retrieved": F.coalesce("retrieved", empty), "impact_evidence": tx.empty_if_null("impact_evidence"),
         "gap_evidence": more, "fit_band": sc.fit_band(F.col("total_score"), F.col("risk_score")),
     })

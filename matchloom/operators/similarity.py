@@ -7,6 +7,7 @@ terms share a frequent token:
 * acronyms: a short single token against the initials of the other side;
 * token overlap and subsets: prefix filtering. Tokens are ordered rarest first, and only the rarest few of a term are
   join keys, so a token that a third of the vocabulary contains is a key only for terms that consist of it;
+* graph edges and cosines: the canonical form, and the threshold join of `vectors`;
 * sequence ratio: prefix filtering on (character, occurrence, length), then the multiset bound inside the join. Both
   bounds are upper bounds of the ratio, so nothing at or above the floor is lost.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 
 from matchloom.config import DEFAULT
 from matchloom.functions import text as tx
+from matchloom.operators.vectors import vector_join
 
 BOTH_WAYS = T.StructType([T.StructField("sim", T.DoubleType()), T.StructField("back", T.DoubleType())])
 
@@ -175,6 +177,17 @@ def graph_pairs(edges: DataFrame) -> DataFrame:
     return e.union(e.select(F.col("r").alias("l"), F.col("l").alias("r"))).where("l <> r").distinct()
 
 
+def graph_hits(left: DataFrame, right: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs of terms of two feature tables whose canonical forms are joined by an edge in either direction."""
+    a, b = left.select(F.col("term").alias("lt"), F.col("c").alias("l")), right.select(F.col("term").alias("rt"), F.col("c").alias("r"))
+    return graph_pairs(edges).join(a, "l").join(b, "r").select(F.col("lt").alias("l"), F.col("rt").alias("r"))
+
+
+def canonical_vectors(features: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(term, embedding) of the terms whose canonical form has a vector."""
+    return features.select("term", "c").join(vectors.select(F.col("term").alias("c"), "embedding"), "c").select("term", "embedding")
+
+
 def cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Cosine of the wanted pairs (l, r): two equi-joins with the vector table; zero vectors give 0."""
     wanted = pairs.select("l", "r").distinct()
@@ -200,9 +213,14 @@ def composite(lex: Column, graph: Column, cos: Column) -> Column:
 
 def pair_table(
     left: DataFrame, right: DataFrame, floor: float = DEFAULT.floor, ratio: bool = True,
-    graph: DataFrame | None = None, cosines: DataFrame | None = None,
+    graph: DataFrame | None = None, cosines: DataFrame | None = None, vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """All pairs of two vocabularies whose similarity in either direction reaches the floor."""
+    """All pairs of two vocabularies whose similarity in either direction reaches the floor.
+
+    Up to three joins of different kind give the parts: terms and characters, edges of the skill graph (``graph``) and
+    cosines, either of given pairs (``cosines``) or of all pairs by the threshold join (``vectors``: term, embedding). Graph
+    and vectors are looked up by the canonical form of a term.
+    """
     lf, rf = features(left), features(right)
     none = F.lit(None).cast("double")
 
@@ -221,7 +239,11 @@ def pair_table(
         right.select(F.col("term").alias("r")), "r", "left_semi"
     )
     if graph is not None:
-        parts.append(rows(known(graph_pairs(graph)), graph=one))
+        parts.append(rows(graph_hits(lf, rf, graph), graph=one))
+    if vectors is not None:
+        mine = canonical_vectors(lf, vectors)
+        others = mine if left is right else canonical_vectors(rf, vectors)
+        parts.append(rows(vector_join(mine, others, floor).pairs, cos=F.round("cos", 12)))  # equal ones tie, whatever the order of sums
     if cosines is not None:
         parts.append(rows(known(cosines).select("l", "r", "cos"), cos=F.col("cos")))
     union = parts[0]

@@ -1,6 +1,7 @@
 """Matching, scoring, ranking: every key reads one table of scored applications over the whole folder.
 
-The plan with sequence ratios has no SQL twin; the same plan without them is checked key by key.
+Scores use words, the skill graph and term vectors. The plan with sequence ratios has no SQL twin; the same plan without
+them is checked key by key, and so is the one by words alone (`score_pairs_lexical`, `lexical_sim`).
 """
 
 from __future__ import annotations
@@ -12,35 +13,59 @@ from matchloom.config import DEFAULT as CFG
 from matchloom.functions import scores as sc
 from matchloom.functions import text as tx
 from matchloom.operators import explain, ranking, similarity as sm
+from matchloom.operators.vectors import vector_join
 from matchloom.plans import scoring, sqltext as s
 from matchloom.plans.catalog import tenure as ct
 from matchloom.plans.catalog.text import KEYWORDS_SQL
 from matchloom.plans.registry import query
 from matchloom.session import cut
 from matchloom.sources import views
-from matchloom.sources.tables import table
+from matchloom.sources.tables import files_state, table
 
 _BUILT: dict = {}
+READ = ["customer", "nation", "part", "orders", "lineitem", "embeddings"]
 
 
-def profiles(spark, sf, ratio: bool = False) -> scoring.Profiles:
-    """Profile tables are written once per session and folder and shared by all queries."""
-    key = (spark.sparkContext.applicationId, sf, ratio)
-    if key not in _BUILT:
-        _BUILT[key] = scoring.build_profiles(
-            views.jobs(spark, sf), views.candidates(spark, sf), ct.entries(spark, sf), CFG, ratio
-        )
-    return _BUILT[key]
+def kept(spark, sf, kind: tuple, make):
+    """Results that several keys share are made once per session and state of the files that they were made from."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    state = files_state(spark, sf, *READ)
+    if key not in _BUILT or _BUILT[key][0] != state:
+        _BUILT[key] = state, make()
+    return _BUILT[key][1]
 
 
-def scored(spark, sf, ratio: bool = False) -> DataFrame:
+def profiles(spark, sf, ratio: bool = False, semantic: bool = True) -> scoring.Profiles:
+    """Profile tables; ``semantic``: with the skill graph and the term vectors."""
+
+    def make():
+        graph, vectors = (graph_edges(spark, sf), views.term_vectors(spark, sf)) if semantic else (None, None)
+        return scoring.build_profiles(
+            views.jobs(spark, sf), views.candidates(spark, sf), ct.entries(spark, sf), CFG, ratio, graph, vectors=vectors)
+
+    return kept(spark, sf, (ratio, semantic), make)
+
+
+def scored(spark, sf, ratio: bool = False, semantic: bool = True) -> DataFrame:
     apps = views.applications(spark, sf).where("job_id IS NOT NULL")
-    return scoring.score_pairs(apps, profiles(spark, sf, ratio))
+    return scoring.score_pairs(apps, profiles(spark, sf, ratio, semantic))
 
 
 # ---- the same in SQL ------------------------------------------------------------------------------------------------
 
 def pairs_sql(name: str, left: str, right: str, floor: float) -> str:
+    """Words first, then the flat value of an edge, then the better of words and vectors."""
+    def form(v):
+        return f"(SELECT term, {s.canonical('term')} AS c FROM {v})"
+    return lexical_sql(f"{name}_lex", left, right, floor) + f""",
+{name}_graph AS (SELECT DISTINCT a.term AS l, b.term AS r FROM {form(left)} a JOIN g_both g ON a.c = g.l JOIN {form(right)} b ON b.c = g.r),
+{name}_cos AS (SELECT * FROM (SELECT a.term AS l, b.term AS r, round(list_dot_product(x.v, y.v), 12) AS cos FROM {form(left)} a JOIN t_units x ON x.term = a.c, {form(right)} b JOIN t_units y ON y.term = b.c
+  WHERE a.term <> b.term) WHERE cos >= {floor}),
+{name} AS (SELECT l, r, CASE WHEN coalesce(x.sim, 0) >= 0.95 THEN x.sim WHEN g.hit THEN 0.85 ELSE greatest(coalesce(x.sim, 0), coalesce(v.cos, 0)) END::DOUBLE AS sim
+  FROM {name}_lex x FULL JOIN (SELECT *, true AS hit FROM {name}_graph) g USING (l, r) FULL JOIN {name}_cos v USING (l, r))"""
+
+
+def lexical_sql(name: str, left: str, right: str, floor: float) -> str:
     def feat(v):
         return (f"(SELECT term, {s.canonical('term')} AS c, list_distinct(regexp_extract_all({s.canonical('term')}, '[a-z0-9+#./]+')) AS toks, "
                 f"list_filter(string_split(replace({s.canonical('term')}, '.', ' '), ' '), lambda x: x <> '') AS parts FROM {v})")
@@ -122,13 +147,15 @@ o_education AS (SELECT candidate_id, {uniq_terms(f'''list_concat({_edu_part('d')
     CASE WHEN mast AND contains(f, 'artificial intelligence') THEN ['m.tech artificial intelligence', 'master artificial intelligence'] ELSE [] END)''', False)} AS terms
   FROM (SELECT *, regexp_matches(d, 'b\\.tech|b\\.e|bachelor') AS bach, regexp_matches(d, 'm\\.tech|m\\.e|master|msc|m\\.sc') AS mast FROM o_school))"""
 
+OWN_PAIRS = ("o_own_pairs", "o_own_words", "o_own_words", 0.78)
+HIT_PAIRS = ("o_pairs", "o_job_words", "o_cand_words", CFG.floor)
 O_CLUSTERS = ",\n".join([
     """o_job_items AS (SELECT job_id, 'required' AS kind, unnest(required) AS term, generate_subscripts(required, 1) AS i FROM o_jobs
   UNION ALL SELECT job_id, 'preferred', unnest(preferred), generate_subscripts(preferred, 1) FROM o_jobs
   UNION ALL SELECT job_id, 'domain', unnest(d), generate_subscripts(d, 1) FROM (SELECT job_id, list_concat(domain_own, list_filter(keywords, lambda k: NOT list_contains(domain_own, k))) AS d FROM o_jobs)),
 o_job_words AS (SELECT DISTINCT term FROM (SELECT term FROM o_job_items UNION ALL SELECT unnest(list_concat(context, education_ref, certificate_ref)) FROM o_jobs)),
 o_own_words AS (SELECT term FROM o_job_words UNION SELECT term FROM o_domain)""",
-    pairs_sql("o_own_pairs", "o_own_words", "o_own_words", 0.78),
+    pairs_sql(*OWN_PAIRS),
     fold_sql("o_job_leaders", "o_job_items", "job_id, kind", "o_own_pairs", 0.78),
     "o_skill_items AS (SELECT candidate_id, term, weight, row_number() OVER (PARTITION BY candidate_id ORDER BY pos) AS i FROM o_evidence)",
     fold_sql("o_skill_leaders", "o_skill_items", "candidate_id", "o_own_pairs", 0.78),
@@ -145,7 +172,7 @@ O_HITS = ",\n".join([
   UNION ALL SELECT candidate_id, 'keyword', unnest({phrase_sql("summary || chr(10) || array_to_string(projects, chr(10))", 20)}) FROM h_candidates
   UNION ALL SELECT candidate_id, 'education', unnest(terms) FROM o_education),
 o_cand_words AS (SELECT DISTINCT term FROM o_terms)""",
-    pairs_sql("o_pairs", "o_job_words", "o_cand_words", CFG.floor),
+    pairs_sql(*HIT_PAIRS),
     """o_hits AS (SELECT candidate_id, kind, l AS query, max(sim) AS sim, arg_min(term, [1 - sim, 0]::DOUBLE[]) AS anyterm, list(term ORDER BY sim DESC, term)[1] AS term
   FROM o_terms t JOIN o_pairs p ON p.r = t.term GROUP BY 1, 2, 3),
 o_apps AS (SELECT DISTINCT job_id, candidate_id FROM h_applications JOIN h_candidates USING (candidate_id) WHERE job_id IS NOT NULL)""",
@@ -230,14 +257,28 @@ o_scored AS (SELECT *, CAST(least(CASE WHEN n_required > 0 AND n_matched = 0 THE
     round_even(match_ratio, 3) AS required_match_ratio, CASE WHEN n_matched > 0 THEN proof / n_matched WHEN n_required = 0 THEN 1.0 ELSE 0.0 END AS proof_ratio
   FROM (SELECT *, skills_score + experience_score + education_score + keyword_score + completeness_score AS base FROM o_parts))"""
 
+TERM_VECTORS = """t_word AS (SELECT word, i, avg(x) AS x FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part)
+  JOIN (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) ON vec_id = p_partkey GROUP BY 1, 2),
+t_list AS (SELECT word, list(x ORDER BY i) AS v FROM t_word GROUP BY 1),
+t_words AS (SELECT word, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM t_list),
+t_units AS (SELECT term, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (SELECT word AS term, v FROM t_words
+  UNION ALL SELECT n.p_name, list_transform(list_zip(a.v, b.v), lambda z: z[1] + 2 * z[2]) FROM (SELECT DISTINCT p_name FROM part) n
+    JOIN t_words a ON a.word = string_split(p_name, ' ')[1] JOIN t_words b ON b.word = string_split(p_name, ' ')[2] WHERE len(string_split(p_name, ' ')) = 2))"""
+GRAPH_SQL = f"""g0 AS (SELECT {s.skill('term')} AS term, relation, {s.skill('related')} AS related_term, min(pos) AS pos FROM h_graph GROUP BY 1, 2, 3),
+g1 AS (SELECT *, row_number() OVER (PARTITION BY term, relation ORDER BY pos, related_term) AS rn, CASE relation WHEN 'equivalent' THEN 1 WHEN 'parent' THEN 2 ELSE 3 END AS ro FROM g0 WHERE length(related_term) <= 80 AND related_term <> ''),
+g2 AS (SELECT term, relation, related_term, ro, rn, row_number() OVER (PARTITION BY term, related_term ORDER BY ro) AS dup FROM g1 WHERE rn <= 8),
+g_edges AS (SELECT term, relation, related_term FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ro, rn) AS k FROM g2 WHERE dup = 1 AND related_term <> term) WHERE k <= 15)"""
+GRAPH_BOTH = "g_both AS (SELECT term AS l, related_term AS r FROM g_edges UNION SELECT related_term, term FROM g_edges)"
 CHAIN = [s.H_JOBS, s.H_CANDIDATES, s.H_EXPERIENCE, s.H_APPLICATIONS, ct.H_ENTRIES, ct.H_YEARS, ct.H_ORDER, ct.H_GROWTH, ct.H_INTERN,
-         O_JOBS, O_EVIDENCE, O_DOMAIN, O_EDUCATION, O_CLUSTERS, O_HITS, O_DETAILS, O_ADDITIONAL, O_COVER, O_BULLETS, O_SCORE]
+         s.H_GRAPH, GRAPH_SQL, GRAPH_BOTH, TERM_VECTORS, O_JOBS, O_EVIDENCE, O_DOMAIN, O_EDUCATION, O_CLUSTERS, O_HITS, O_DETAILS, O_ADDITIONAL, O_COVER, O_BULLETS, O_SCORE]
+#: The blocks in which words alone decide.
+LEXICAL = {O_CLUSTERS: O_CLUSTERS.replace(pairs_sql(*OWN_PAIRS), lexical_sql(*OWN_PAIRS)), O_HITS: O_HITS.replace(pairs_sql(*HIT_PAIRS), lexical_sql(*HIT_PAIRS))}
 
 
-def chain(upto: str, select: str) -> str:
+def chain(upto: str, select: str, semantic: bool = True) -> str:
     ctes = []
     for block in CHAIN:
-        ctes.append(block)
+        ctes.append(block if semantic else LEXICAL.get(block, block))
         if block is globals()[upto]:
             break
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
@@ -245,14 +286,30 @@ def chain(upto: str, select: str) -> str:
 
 # ---- similarity keys -------------------------------------------------------------------------------------------------
 
-@query("lexical_sim", chain("O_HITS", "SELECT l, r, sim FROM o_pairs"))
+@query("lexical_sim", chain("O_HITS", "SELECT l, r, sim FROM o_pairs", semantic=False))
 def lexical_sim(spark, sf):
-    return profiles(spark, sf).pairs.select("l", "r", "sim")
+    return sm.pair_table(*profiles(spark, sf).words, CFG.floor, ratio=False).select("l", "r", "sim")
 
 
 @query("lexical_sim_full")
 def lexical_sim_full(spark, sf):
-    return profiles(spark, sf, True).pairs.select("l", "r", "sim", "back")
+    return sm.pair_table(*profiles(spark, sf).words, CFG.floor, ratio=True)
+
+
+@query("pair_sim", chain("O_HITS", "SELECT l, r, round(sim, 9) AS sim FROM o_pairs"))
+def pair_sim(spark, sf):
+    """The pair table that scores are made from: words, graph edges and cosines of all vectors."""
+    return profiles(spark, sf).pairs.where(F.col("sim") >= CFG.floor).select("l", "r", F.round("sim", 9).alias("sim"))
+
+
+@query("vector_pairs", """WITH u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+  WHERE sqrt(list_dot_product(e, e)) > 0)
+SELECT a.vec_id AS l, b.vec_id AS r, round(list_dot_product(a.u, b.u), 9) AS cos FROM u a, u b WHERE a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.35""")
+def vector_pairs(spark, sf):
+    """Every pair of embeddings with a cosine of 0.35 or more."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("term"), "embedding")
+    found = vector_join(vectors, vectors, 0.35).pairs
+    return found.select(F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), F.round("cos", 9).alias("cos"))
 
 
 @query("acronym_match", "WITH n AS (SELECT DISTINCT p_name AS term FROM part), w AS (SELECT term FROM n UNION SELECT string_split(term, ' ')[1][1] || string_split(term, ' ')[2][1] FROM n UNION SELECT string_split(term, ' ')[1] FROM n)\n"
@@ -264,11 +321,6 @@ def acronym_match(spark, sf):
     return sm.acronym_pairs(sm.features(names), sm.features(words))
 
 
-GRAPH_SQL = f"""g0 AS (SELECT {s.skill('term')} AS term, relation, {s.skill('related')} AS related_term, min(pos) AS pos FROM h_graph GROUP BY 1, 2, 3),
-g1 AS (SELECT *, row_number() OVER (PARTITION BY term, relation ORDER BY pos, related_term) AS rn, CASE relation WHEN 'equivalent' THEN 1 WHEN 'parent' THEN 2 ELSE 3 END AS ro FROM g0 WHERE length(related_term) <= 80 AND related_term <> ''),
-g2 AS (SELECT term, relation, related_term, ro, rn, row_number() OVER (PARTITION BY term, related_term ORDER BY ro) AS dup FROM g1 WHERE rn <= 8),
-g_edges AS (SELECT term, relation, related_term FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ro, rn) AS k FROM g2 WHERE dup = 1 AND related_term <> term) WHERE k <= 15)"""
-
 
 def graph_edges(spark, sf):
     from matchloom.operators.graph import skill_graph
@@ -306,7 +358,7 @@ nc AS (SELECT np.l, np.r, list_dot_product(x, y) / (sqrt(list_dot_product(x, x))
 g AS (SELECT term AS l, related_term AS r FROM g_edges WHERE term <> related_term UNION SELECT related_term, term FROM g_edges WHERE term <> related_term)"""
 
 
-@query("composite_sim", s.with_(s.H_GRAPH, GRAPH_SQL, COMPOSITE_SQL, pairs_sql("lx", "names", "w", 0.0)) + f"""SELECT l, r, round(sim, 9) AS sim FROM (
+@query("composite_sim", s.with_(s.H_GRAPH, GRAPH_SQL, COMPOSITE_SQL, lexical_sql("lx", "names", "w", 0.0)) + f"""SELECT l, r, round(sim, 9) AS sim FROM (
   SELECT lx.l, lx.r, CASE WHEN lx.sim >= 0.95 THEN lx.sim WHEN g.l IS NOT NULL THEN 0.85 ELSE greatest(CASE WHEN lx.sim >= {CFG.floor} THEN lx.sim ELSE 0 END, coalesce(cos, 0)) END AS sim
   FROM lx LEFT JOIN g USING (l, r) LEFT JOIN nc USING (l, r)) WHERE sim >= {CFG.floor}""")
 def composite_sim(spark, sf):
@@ -362,21 +414,18 @@ def score_budget(spark, sf):
 
 # ---- keys of the scored table --------------------------------------------------------------------------------------------
 
-def project(name: str, select: str, columns):
+def project(name: str, select: str, columns, semantic: bool = True):
     """Register columns of the scored applications (a function that lists them); ``select`` is the same in SQL."""
 
-    @query(name, chain("O_SCORE", f"SELECT job_id, candidate_id, {select} FROM o_scored"))
+    @query(name, chain("O_SCORE", f"SELECT job_id, candidate_id, {select} FROM o_scored", semantic))
     def run(spark, sf):
-        return scored_table(spark, sf).select("job_id", "candidate_id", *columns())
+        return scored_table(spark, sf, semantic=semantic).select("job_id", "candidate_id", *columns())
 
     return run
 
 
-def scored_table(spark, sf, ratio: bool = False) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf, ratio, "scored")
-    if key not in _BUILT:
-        _BUILT[key] = cut(scored(spark, sf, ratio))
-    return _BUILT[key]
+def scored_table(spark, sf, ratio: bool = False, semantic: bool = True) -> DataFrame:
+    return kept(spark, sf, ("scored", ratio, semantic), lambda: cut(scored(spark, sf, ratio, semantic)))
 
 
 def r6(name: str):
@@ -405,7 +454,8 @@ project("decision", f"{_pct('skills_score', 1, 'skill_percent')}, {_pct('experie
         f"{_pct('completeness_score', 5, 'completeness_percent')}, CASE WHEN total_score >= 80 THEN 'SHORTLISTED' ELSE 'REJECTED' END AS decision", lambda: [*[sc.percent(F.col(f"{k}_score"), F.col(f"budget.{k}")).alias(f"{n}_percent") for k, n in [("skills", "skill"), ("experience", "experience"), ("education", "education"), ("completeness", "completeness")]], sc.decision(F.col("total_score")).alias("decision")])
 project("fit_band", "CASE WHEN total_score >= 80 AND risk_score <= 45 THEN 'strong' WHEN total_score >= 60 THEN 'moderate' WHEN total_score >= 40 THEN 'partial' ELSE 'limited' END AS fit_band", lambda: [sc.fit_band(F.col("total_score"), F.col("risk_score")).alias("fit_band")])
 _SCORES = ["skills_score", "experience_score", "education_score", "keyword_score", "completeness_score", "total_score", "confidence_score", "risk_score"]
-project("score_pairs_lexical", ", ".join(_SCORES) + ", matched, missing, additional, tags", lambda: [*_SCORES, "matched", "missing", "additional", "tags"])
+for _name, _semantic in [("score_pairs_semantic", True), ("score_pairs_lexical", False)]:
+    project(_name, ", ".join(_SCORES) + ", matched, missing, additional, tags", lambda: [*_SCORES, "matched", "missing", "additional", "tags"], _semantic)
 
 _one = "CAST(round_even({}, 1) AS VARCHAR)".format
 STRENGTHS_SQL = f"""list_filter([CASE WHEN n_matched > 0 THEN 'Matched required skills: ' || array_to_string(matched[:5], ', ') END,
@@ -425,10 +475,40 @@ project("feedback", f"name || ' was scored for ' || title || ' with a total scor
         .replace("n2", f"list_concat(({STRENGTHS_SQL})[:2], ({RISKS_SQL})[:2])"), lambda: [explain.recruiter_feedback().alias("feedback")])
 
 
-@query("required_match", chain("O_DETAILS", "SELECT job_id, candidate_id, jd_skill, member, matched_skill, similarity, is_match, round(weight, 6) AS weight FROM o_details WHERE kind = 'required'"))
-def required_match(spark, sf):
-    rows = scored_table(spark, sf).select("job_id", "candidate_id", F.explode("required_details").alias("d"))
-    return rows.select("job_id", "candidate_id", "d.jd_skill", "d.member", "d.matched_skill", "d.similarity", "d.is_match", F.round("d.weight", 6).alias("weight"))
+O_ANY = ",\n".join([
+    "o_asked AS (SELECT DISTINCT term FROM o_job_items WHERE kind <> 'domain'), o_skills AS (SELECT DISTINCT term FROM o_terms WHERE kind = 'skill')",
+    lexical_sql("o_some", "o_asked", "o_skills", 1e-9),
+    f"""o_some_cos AS (SELECT a.term AS l, b.term AS r, round(list_dot_product(x.v, y.v), 12) AS sim FROM (SELECT term, {s.canonical('term')} AS c FROM o_asked) a JOIN t_units x ON x.term = a.c,
+  (SELECT term, {s.canonical('term')} AS c FROM o_skills) b JOIN t_units y ON y.term = b.c),
+o_any AS (SELECT candidate_id, l AS query, max(sim) AS sim, list(term ORDER BY sim DESC, term)[1] AS term
+  FROM (SELECT l, r, max(sim) AS sim FROM (SELECT * FROM o_some UNION ALL SELECT * FROM o_some_cos WHERE sim > 0) GROUP BY 1, 2) p JOIN o_terms t ON p.r = t.term AND t.kind = 'skill' GROUP BY 1, 2),
+o_filled AS (SELECT d.kind, d.job_id, d.candidate_id, d.jd_skill, list(struct_pack(member := m.term, sim := y.sim, term := y.term) ORDER BY y.sim DESC, m.term)[1] AS best
+  FROM o_details d JOIN o_job_leaders m ON m.job_id = d.job_id AND m.kind = d.kind AND m.leader = d.jd_skill AND (d.kind = 'required' OR m.term = m.leader)
+  JOIN o_any y ON y.candidate_id = d.candidate_id AND y.query = m.term WHERE d.matched_skill = '' GROUP BY 1, 2, 3, 4),
+o_whole AS (SELECT d.kind, d.job_id, d.candidate_id, d.jd_skill, coalesce(best.member, d.member) AS member, coalesce(best.term, d.matched_skill) AS matched_skill,
+    CASE WHEN best IS NULL THEN d.similarity ELSE round_even(best.sim, 3) END AS similarity, d.is_match, CASE WHEN best IS NULL THEN d.weight ELSE coalesce(w.cluster_weight, 0) END AS weight
+  FROM o_details d LEFT JOIN o_filled f USING (kind, job_id, candidate_id, jd_skill) LEFT JOIN o_weights w ON w.candidate_id = d.candidate_id AND w.term = best.term)""",
+])
+
+
+def whole_details(spark, sf) -> DataFrame:
+    """Made once for the keys that report details."""
+    return kept(spark, sf, ("details",), lambda: cut(scoring.complete_details(scored_table(spark, sf), profiles(spark, sf))))
+
+
+def detail_rows(name: str, kind: str):
+    sql = (f"SELECT job_id, candidate_id, jd_skill, member, matched_skill, similarity, is_match, round(weight, 6) AS weight FROM o_whole WHERE kind = '{kind}'")
+
+    @query(name, chain("O_DETAILS", "").rstrip() + ",\n" + O_ANY + "\n" + sql)
+    def run(spark, sf):
+        rows = whole_details(spark, sf).select("job_id", "candidate_id", F.explode(f"{kind}_details").alias("d"))
+        return rows.select("job_id", "candidate_id", "d.jd_skill", "d.member", "d.matched_skill", "d.similarity", "d.is_match", F.round("d.weight", 6).alias("weight"))
+
+    return run
+
+
+detail_rows("required_match", "required")
+detail_rows("preferred_match", "preferred")
 
 
 @query("impact_rate", s.with_(s.H_EXPERIENCE, ct.H_ENTRIES, O_BULLETS) + "SELECT candidate_id, n_bullets, n_quantified, round(n_quantified::DOUBLE / n_bullets, 6) AS rate FROM o_bullets")
@@ -449,7 +529,7 @@ def ownership_ratio(spark, sf):
 
 @query("match_details")
 def match_details(spark, sf):
-    t = scored_table(spark, sf)
+    t = whole_details(spark, sf)
     return t.select(
         "job_id", "candidate_id", "required_match_ratio", F.col("n_required").alias("required_required_count"), F.col("n_matched").alias("matched_required_count"),
         F.to_json(F.struct(

@@ -16,7 +16,7 @@ from matchloom import fixed_values as fv
 from matchloom.config import DEFAULT, MatchConfig
 from matchloom.functions import scores as sc
 from matchloom.functions import text as tx
-from matchloom.operators import clustering, evidence as ev, similarity as sm, tenure as tn
+from matchloom.operators import clustering, evidence as ev, search, similarity as sm, tenure as tn
 from matchloom.session import cut
 
 JOB_TERMS = ["required", "preferred", "keywords", "domain_own", "context", "education_ref", "certificate_ref"]
@@ -390,15 +390,20 @@ class Profiles:
     people: DataFrame
     candidates: Candidates
     pairs: DataFrame
+    words: tuple[DataFrame, DataFrame]  # the vocabularies of jobs and candidates
+    graph: DataFrame | None = None
+    vectors: DataFrame | None = None
 
 
 def build_profiles(
     jobs: DataFrame, people: DataFrame, entries: DataFrame, cfg: MatchConfig = DEFAULT, ratio: bool = True,
-    graph: DataFrame | None = None, reliable: bool = True,
+    graph: DataFrame | None = None, reliable: bool = True, vectors: DataFrame | None = None,
 ) -> Profiles:
     """Job and candidate profiles and the pair table between their vocabularies.
 
-    people: one row per candidate; entries: employment entries after tidying. With ``reliable`` the reused tables
+    people: one row per candidate; entries: employment entries after tidying; graph: edges (term, related_term) of the
+    skill graph; vectors: (term, embedding). Every similarity in clusters, matches, coverage, additional skills and
+    domain tags comes from the pair tables, so graph and vectors take part in all of them. With ``reliable`` the reused tables
     are checkpointed, so that they are computed once and a lost executor does not replay the whole lineage.
     """
     keep = cut if reliable else (lambda df: df)
@@ -409,13 +414,14 @@ def build_profiles(
     job_words = keep(sm.vocabulary(*[terms.select(c) for c in JOB_TERMS]))
     domain = keep(ev.domain_terms(people, ranked, evidence))
     own_words = keep(sm.vocabulary(job_words, domain.select("term")))
-    own_pairs = keep(sm.pair_table(own_words, own_words, cfg.clustering, ratio, graph))
+    graph, vectors = (None if t is None else keep(t) for t in (graph, vectors))
+    own_pairs = keep(sm.pair_table(own_words, own_words, cfg.clustering, ratio, graph, vectors=vectors))
     cands = candidate_terms(people, ranked, evidence, domain, own_pairs, cfg)
     cands.evidence, cands.terms = keep(cands.evidence), keep(cands.terms)
     cand_words = keep(sm.vocabulary(cands.terms.select("term")))
-    pairs = keep(sm.pair_table(job_words, cand_words, cfg.floor, ratio, graph))
+    pairs = keep(sm.pair_table(job_words, cand_words, cfg.floor, ratio, graph, vectors=vectors))
     profiles = keep(job_profiles(terms, own_pairs, cfg))
-    return Profiles(profiles, keep(candidate_profiles(cands, pairs, cfg)), cands, pairs)
+    return Profiles(profiles, keep(candidate_profiles(cands, pairs, cfg)), cands, pairs, (job_words, cand_words), graph, vectors)
 
 
 # profile columns that the scores were made from; a result row does not carry them along
@@ -430,3 +436,32 @@ INPUT_ONLY = [
 def score_pairs(pairs: DataFrame, profiles: Profiles, cfg: MatchConfig = DEFAULT) -> DataFrame:
     """One row per distinct (job, candidate) pair with scores, matched terms, details and narratives."""
     return narratives(score_features(pair_features(pairs, profiles.jobs, profiles.people, cfg), cfg)).drop(*INPUT_ONLY)
+
+
+def complete_details(scored: DataFrame, profiles: Profiles, ratio: bool = False) -> DataFrame:
+    """Scored pairs whose details name the best own skill of the candidate at any similarity above 0.
+
+    Scores only need matches from the floor on. A detail without one is searched here, among the skills of the candidate
+    who applied; its similarity is below every threshold, so no score, list or cap changes.
+    """
+    pair = ["job_id", "candidate_id"]
+    kinds = {"required": lambda c: c["members"], "preferred": lambda c: F.array(c["canonical"])}
+    listed = F.concat(*[
+        F.transform(f"{kind}_details", lambda d, i: F.struct(
+            F.concat(F.lit(kind), i.cast("string")).alias("slot"), d.alias("d"), members(F.get(f"{kind}_clusters", i)).alias("members")))
+        for kind, members in kinds.items()])
+    gaps = cut(scored.select(*pair, F.explode(F.filter(listed, lambda x: x["d"]["matched_skill"] == "")).alias("x")).select(
+        *pair, "x.slot", "x.d.jd_skill", F.posexplode("x.members").alias("i", "query")))
+    skills = profiles.candidates.evidence.select("candidate_id", "term", "cluster_weight")
+    best = search.best_of_own(gaps.select("candidate_id", "query"), skills, ratio, profiles.vectors)
+    closest = gaps.join(best, ["candidate_id", "query"]).groupBy(*pair, "slot", "jd_skill").agg(
+        F.min(F.struct((-F.col("sim")).alias("n"), "i", "query", "term")).alias("b")).withColumn("term", F.col("b.term"))
+    filled = closest.join(skills, ["candidate_id", "term"], "left").select(*pair, "slot", F.struct(
+        "jd_skill", F.col("b.query").alias("member"), F.col("term").alias("matched_skill"), tx.half_even(-F.col("b.n"), 3).alias("similarity"),
+        F.lit(False).alias("is_match"), F.coalesce("cluster_weight", F.lit(0.0)).alias("weight")).alias("d"))
+    per_pair = filled.groupBy(*pair).agg(F.map_from_entries(F.collect_list(F.struct("slot", "d"))).alias("filled"))
+
+    def whole(kind: str) -> Column:
+        return F.transform(f"{kind}_details", lambda d, i: F.coalesce(F.element_at("filled", F.concat(F.lit(kind), i.cast("string"))), d))
+
+    return scored.join(per_pair, pair, "left").withColumns({f"{kind}_details": whole(kind) for kind in kinds}).drop("filled")

@@ -25,3 +25,13 @@ def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def resume_objects(spark: SparkSession, folder: str) -> DataFrame:
     """Stored résumé files: one row per object with its key, length and bytes."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+
+
+def files_state(spark: SparkSession, folder: str, *names: str) -> tuple:
+    """Path, time of change and length of the files of some tables: what a result that was kept was made from. Only the
+    listing is read."""
+    found = []
+    for name in names:
+        files = spark.read.format("binaryFile").load(f"{folder}/{name}.parquet").select("path", "modificationTime", "length")
+        found += [(r.path, str(r.modificationTime), r.length) for r in files.collect()]
+    return tuple(sorted(found))

@@ -249,3 +249,19 @@ def graph_source(spark: SparkSession, sf: str) -> DataFrame:
     )
     b = p.select(F.col("p_partkey").alias("next"), F.col("p_name").alias("related"))
     return a.join(b, a.pos + 1 == b.next).select("term", "relation", "related", "pos")
+
+
+def term_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector per part name and per word of one. A word has the mean of the embeddings of the parts named by it, at
+    length 1; a name is its first word plus twice its last, so that names of one kind of part are close."""
+    names = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
+    values = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    spoken = names.select("p_partkey", F.explode(F.array_distinct("words")).alias("word"))
+    means = spoken.join(values, spoken.p_partkey == values.vec_id).groupBy("word", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    listed = means.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    words = listed.withColumn("n", length).select("word", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    pairs = names.select("words").distinct().where(F.size("words") == 2).select(F.array_join("words", " ").alias("term"), F.col("words")[0].alias("a"), F.col("words")[1].alias("b"))
+    first, last = words.select(F.col("word").alias("a"), F.col("v").alias("av")), words.select(F.col("word").alias("b"), F.col("v").alias("bv"))
+    both = pairs.join(first, "a").join(last, "b").select("term", F.zip_with("av", "bv", lambda x, y: x + 2 * y).alias("embedding"))
+    return words.select(F.col("word").alias("term"), F.col("v").alias("embedding")).unionByName(both)
