@@ -10,6 +10,7 @@ from matchloom.config import DEFAULT, MatchConfig
 from matchloom.functions import scores as sc
 from matchloom.functions import text as tx
 from matchloom.operators import similarity as sm
+from matchloom.session import cut
 
 MIN_RELEVANCE = 0.25
 PAIR = ["job_id", "candidate_id"]
@@ -105,8 +106,11 @@ def snippet_relevance(
         f = f.select(F.col("term").alias(name), *[F.col(x).alias(f"{mark}_{x}") for x in ("c", "toks", "short", "initials", "search")])
         return rows.join(f, name)
 
-    qs = featured(asked, "query", "q").withColumn("q_keys", F.array_union("q_toks", "q_search"))
-    ts = featured(pieces, "text", "t").withColumn("t_keys", F.array_union("t_toks", "t_search"))
+    # Read by several joins, each of which gives far more rows than it reads: written once, and dealt by candidate into a given
+    # number of parts, which adaptive execution doesn't merge by their small size.
+    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    qs = cut(featured(asked, "query", "q").withColumn("q_keys", F.array_union("q_toks", "q_search"))).repartition(parts, "candidate_id")
+    ts = cut(featured(pieces, "text", "t").withColumn("t_keys", F.array_union("t_toks", "t_search"))).repartition(parts, "candidate_id")
     place = ["candidate_id", "query", "ord", "source", "text"]
     first = F.get(F.array_intersect("q_keys", "t_keys"), F.lit(0)) == F.col("k")
     shared = qs.withColumn("k", F.explode("q_keys")).join(ts.withColumn("k", F.explode("t_keys")), ["candidate_id", "k"]).where(first)
@@ -117,9 +121,10 @@ def snippet_relevance(
     found = found.union(flat[0]).union(flat[1])
     if ratio:
         n, m = F.length("q_c"), F.length("t_c")
-        may = (2 * F.least(n, m) / (n + m) >= least - 0.0005) & (F.col("q_c") != F.col("t_c"))
+        may = (2 * F.least(n, m) / (n + m) >= least - 0.0005) & (F.col("q_c") != F.col("t_c"))  # a ratio is at most this
         open_ = qs.select("candidate_id", "query", "q_c").join(ts.select("candidate_id", "ord", "source", "text", "t_c"), "candidate_id").where(may)
-        each = open_.select("q_c", "t_c").distinct().select("q_c", "t_c", sm.sequence_ratio("q_c", "t_c")["sim"].alias("score"))
+        open_ = cut(open_)
+        each = open_.select("q_c", "t_c").distinct().repartition(parts).select("q_c", "t_c", sm.sequence_ratio("q_c", "t_c")["sim"].alias("score"))
         found = found.union(open_.join(each.where(F.col("score") >= least - 0.0005), ["q_c", "t_c"]).select(*place, "score"))
     if similarity is not None:
         given = asked.join(similarity.select(F.col("l").alias("query"), F.col("r").alias("text"), F.col("sim").alias("score")), "query")

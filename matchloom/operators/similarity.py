@@ -30,10 +30,21 @@ BOTH_WAYS = T.StructType([T.StructField("sim", T.DoubleType()), T.StructField("b
 
 @F.pandas_udf(BOTH_WAYS)
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    """Ratcliff-Obershelp ratio in both directions (it is not symmetric)."""
-    sim = [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)]
-    back = [SequenceMatcher(None, b, a).ratio() for a, b in zip(left, right)]
-    return pd.DataFrame({"sim": sim, "back": back})
+    """Ratcliff-Obershelp ratio in both directions (it is not symmetric). Rows are taken in order of the second sequence,
+    whose index the matcher then builds once for all its partners."""
+    return pd.DataFrame({"sim": _ratios(left, right), "back": _ratios(right, left)})
+
+
+def _ratios(first: pd.Series, second: pd.Series) -> list[float]:
+    a, b = first.tolist(), second.tolist()
+    out, matcher, held = [0.0] * len(a), SequenceMatcher(None), None
+    for i in sorted(range(len(b)), key=b.__getitem__):
+        if b[i] != held:
+            held = b[i]
+            matcher.set_seq2(held)
+        matcher.set_seq1(a[i])
+        out[i] = matcher.ratio()
+    return out
 
 
 def vocabulary(*columns: DataFrame) -> DataFrame:
