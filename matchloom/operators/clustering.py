@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.session import cut
+
 STATE = "struct<terms: array<string>, leaders: array<string>>"
 
 
@@ -28,18 +30,14 @@ def _edges(pairs: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def leaders(items: DataFrame, pairs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """items(keys, term, pos) with distinct terms per record -> the same rows with their leader.
-
-    A term joins the most similar earlier leader at or above the threshold (the earliest of equals), else it leads.
-    Only terms with a close earlier neighbour enter the fold; a record's fold is bounded by its own vocabulary.
-    """
+def near_terms(items: DataFrame, pairs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, term, pos, other, other_pos, sim): the earlier terms of the same record that a term may join."""
     rows = items.select(*keys, "term", "pos")
     low = rows.select(*keys, F.col("term").alias("low"), F.col("pos").alias("low_pos"))
     high = rows.select(*keys, F.col("term").alias("high"), F.col("pos").alias("high_pos"))
     near = low.join(_edges(pairs, threshold), "low").join(high, [*keys, "high"])
     later = F.col("low_pos") > F.col("high_pos")
-    near = near.select(
+    return near.select(
         *keys,
         F.when(later, F.col("low")).otherwise(F.col("high")).alias("term"),
         F.when(later, F.col("low_pos")).otherwise(F.col("high_pos")).alias("pos"),
@@ -47,6 +45,10 @@ def leaders(items: DataFrame, pairs: DataFrame, keys: list[str], threshold: floa
         F.when(later, F.col("high_pos")).otherwise(F.col("low_pos")).alias("other_pos"),
         F.when(later, F.col("up")).otherwise(F.col("down")).alias("sim"),
     ).where(F.col("sim") >= threshold)
+
+
+def in_one_row(near: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, term, leader) of the terms that join a leader: each record is folded in its row."""
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("n"), "other_pos", "other")))
     per_term = near.groupBy(*keys, "term", "pos").agg(ranked.alias("near"))
     per_record = per_term.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "term", "near"))).alias("todo"))
@@ -65,9 +67,53 @@ def leaders(items: DataFrame, pairs: DataFrame, keys: list[str], threshold: floa
 
     empty = F.array().cast("array<string>")
     start = F.struct(empty.alias("terms"), empty.alias("leaders")).cast(STATE)
-    joined = per_record.select(*keys, F.aggregate("todo", start, step).alias("s")).select(
+    return per_record.select(*keys, F.aggregate("todo", start, step).alias("s")).select(
         *keys, F.explode(F.arrays_zip(F.col("s.terms").alias("term"), F.col("s.leaders").alias("leader"))).alias("z")
     ).select(*keys, F.col("z.term").alias("term"), F.col("z.leader").alias("leader"))
+
+
+def in_rounds(near: DataFrame, keys: list[str]) -> DataFrame:
+    """The same by joins to a fixed point, for records of any size.
+
+    Leaders are the lexicographically first independent set: a term leads if none of its earlier near terms does. A round
+    decides every term that has an earlier near leader, and every term all of whose earlier near terms are decided; what
+    was decided leaves the edges. There are as many rounds as the longest chain of terms that wait for each other.
+    """
+    open_ = cut(near.select(*keys, "term", "other"))
+    ends = [*keys, F.col("other").alias("term")]
+    leading = cut(open_.select(*ends).distinct().join(open_.select(*keys, "term"), [*keys, "term"], "left_anti"))
+    new, out = leading.withColumn("leads", F.lit(True)), [leading]
+    while not open_.isEmpty():
+        known = new.withColumnRenamed("term", "other")
+        seen = cut(open_.join(known, [*keys, "other"], "left"))
+        waits = seen.groupBy(*keys, "term").agg(F.max(F.coalesce("leads", F.lit(False))).alias("joins"), F.max(F.col("leads").isNull()).alias("waits"))
+        new = cut(waits.where("joins OR NOT waits").select(*keys, "term", (~F.col("joins")).alias("leads")))
+        if new.isEmpty():  # an earliest open term always can be decided
+            raise ValueError("positions repeat in a record")
+        out.append(new.where("leads").drop("leads"))
+        # an edge is used once, in the round after its earlier end was decided; the edges of terms that are decided now go
+        open_ = cut(seen.where("leads IS NULL").drop("leads").join(new, [*keys, "term"], "left_anti"))
+    leads = out[0]
+    for more in out[1:]:
+        leads = leads.unionByName(more)
+    best = F.min(F.struct((-F.col("sim")).alias("n"), "other_pos", "other"))
+    joined = near.join(leads.withColumnRenamed("term", "other"), [*keys, "other"]).groupBy(*keys, "term").agg(best.alias("b"))
+    return joined.join(leads, [*keys, "term"], "left_anti").select(*keys, "term", F.col("b.other").alias("leader"))
+
+
+def leaders(items: DataFrame, pairs: DataFrame, keys: list[str], threshold: float, one_row: int = 20_000) -> DataFrame:
+    """items(keys, term, pos) with distinct terms per record -> the same rows with their leader.
+
+    A term joins the most similar earlier leader at or above the threshold (the earliest of equals), else it leads.
+    Only terms with a close earlier neighbour take part. Records of up to `one_row` near pairs are folded in their row, larger
+    ones are decided in rounds of joins; both give the same leaders.
+    """
+    near = cut(near_terms(items, pairs, keys, threshold))
+    large = cut(near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > one_row).select(*keys))
+    if large.isEmpty():
+        joined = in_one_row(near, keys)
+    else:
+        joined = in_one_row(near.join(large, keys, "left_anti"), keys).unionByName(in_rounds(near.join(large, keys, "left_semi"), keys))
     return items.join(joined, [*keys, "term"], "left").withColumn("leader", F.coalesce("leader", "term"))
 
 

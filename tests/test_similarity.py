@@ -77,13 +77,14 @@ def test_graph_hit_overrides_acronym(spark):
     assert (plain, linked) == (0.92, 0.85)
 
 
-def test_clusters_match_the_greedy_loop(spark):
+@pytest.mark.parametrize("one_row", [20_000, 3])
+def test_clusters_match_the_greedy_loop(spark, one_row):
     pairs = sm.pair_table(vocab(spark), vocab(spark), 0.78)
     records = {1: WORDS, 2: WORDS[::-1], 3: sorted(["js", "javascript", "java", "react", "reactjs"])}
     extra = spark.createDataFrame([(w,) for w in records[3]], "term string")
     pairs = pairs.union(sm.pair_table(extra, extra, 0.78)).distinct()
     items = spark.createDataFrame([(k, w, i) for k, ws in records.items() for i, w in enumerate(ws)], "rec int, term string, pos int")
-    got = {(r.rec, r.term): r.leader for r in cl.leaders(items, pairs, ["rec"], 0.78).collect()}
+    got = {(r.rec, r.term): r.leader for r in cl.leaders(items, pairs, ["rec"], 0.78, one_row).collect()}
     alias = {**ALIASES, "js": "javascript"}
     for rec, ws in records.items():
         leaders = []
@@ -98,6 +99,29 @@ def test_clusters_match_the_greedy_loop(spark):
             assert got[(rec, w)] == (best or w)
 
 
+def test_a_record_of_many_terms_is_decided_in_rounds(spark):
+    r, n = random.Random(8), 100_000
+    edges = {}
+    for _ in range(150_000):
+        a = r.randrange(n)
+        b = min(n - 1, a + 1 + int(r.expovariate(0.001)))
+        if a != b:
+            edges[b, a] = round(r.uniform(0.7, 1.0), 2)
+    near = {}
+    for (b, a), sim in edges.items():
+        if sim >= 0.78:
+            near.setdefault(b, []).append((-sim, a))
+    leads, want = [True] * n, {}
+    for b in range(n):
+        best = min((x for x in near.get(b, []) if leads[x[1]]), default=None)
+        if best is not None:
+            leads[b], want[b] = False, best[1]
+    items = spark.range(n).selectExpr("1 AS rec", "concat('t', id) AS term", "id AS pos")
+    pairs = spark.createDataFrame([(f"t{b}", f"t{a}", sim, 0.1) for (b, a), sim in edges.items()], "l string, r string, sim double, back double")
+    got = cl.leaders(items, pairs, ["rec"], 0.78).where("leader <> term").collect()
+    assert {(x.term, x.leader) for x in got} == {(f"t{b}", f"t{a}") for b, a in want.items()}
+
+
 def test_no_cartesian_product(spark):
     plan = sm.pair_table(vocab(spark), vocab(spark))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
