@@ -129,8 +129,13 @@ def batch_summary(results: DataFrame) -> DataFrame:
 
 
 def warnings_rollup(files: DataFrame, group: str, pos: str, segment: int = 4096) -> DataFrame:
-    """'file: warning' in input order, one bounded row per ``segment`` input positions."""
+    """One row per group: 'file: warning' in input order. Lines are ordered per `segment` input positions by many tasks;
+    the last step only strings the segments of a group together."""
     lines = F.transform("warnings", lambda w: F.concat(F.col("file"), F.lit(": "), w))
-    seg = F.floor(F.col(pos) / segment).alias("segment")
-    return files.where(F.size("warnings") > 0).groupBy(group, seg).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), lines.alias("w")))), lambda x: x["w"])).alias("warnings"))
+
+    def in_order(key: str, value: str):
+        return F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]))
+
+    rows = files.where(F.size("warnings") > 0).select(group, F.col(pos).alias("_p"), F.floor(F.col(pos) / segment).alias("_seg"), lines.alias("_w"))
+    parts = rows.groupBy(group, "_seg").agg(in_order("_p", "_w").alias("_w"))
+    return parts.groupBy(group).agg(in_order("_seg", "_w").alias("warnings"))

@@ -14,11 +14,17 @@ UNKNOWN_MONTH = 999999  # entries without a readable start come last
 
 
 def tidy(entries: DataFrame, cfg: MatchConfig = DEFAULT, mode: str = "safe") -> DataFrame:
-    """Packed ranges split, dates parsed, inverted ranges closed at 'Present', duration in months."""
+    """Packed ranges split, dates parsed, inverted ranges closed at 'Present', duration in months.
+
+    Dates recur far more often than they differ, so each distinct start, end and duration is parsed once and joined back.
+    """
     given = F.col("duration_months") if "duration_months" in entries.columns else F.lit(0)
-    entry = dates.tidy_entry(F.col("start_date"), F.col("end_date"), given, cfg.as_of_index, mode)
     rest = [c for c in entries.columns if c not in ("start_date", "end_date", "duration_months")]
-    return entries.select(*rest, entry.alias("_e")).select(*rest, "_e.*")
+    rows = entries.select(*rest, F.col("start_date").alias("_s"), F.col("end_date").alias("_e"), given.alias("_m"))
+    entry = dates.tidy_entry(F.col("_rs"), F.col("_re"), F.col("_rm"), cfg.as_of_index, mode).alias("_t")
+    each = rows.select(F.col("_s").alias("_rs"), F.col("_e").alias("_re"), F.col("_m").alias("_rm")).distinct().select("_rs", "_re", "_rm", entry)
+    same = F.col("_s").eqNullSafe(F.col("_rs")) & F.col("_e").eqNullSafe(F.col("_re")) & F.col("_m").eqNullSafe(F.col("_rm"))
+    return rows.join(each, same).select(*rest, "_t.*")
 
 
 def is_employment(title: Column, company: Column, months: Column) -> Column:

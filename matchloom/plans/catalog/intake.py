@@ -164,7 +164,7 @@ def batch_summary(spark, sf):
     return pn.batch_summary(results(spark, sf))
 
 
-@query("warnings_rollup", """SELECT source, CAST(doc_id // 4096 AS BIGINT) AS segment, list(lang || doc_id || ': long text' ORDER BY doc_id) AS warnings FROM documents WHERE n_chars > 2000 GROUP BY 1, 2""")
+@query("warnings_rollup", """SELECT source, list(lang || doc_id || ': long text' ORDER BY doc_id) AS warnings FROM documents WHERE n_chars > 2000 GROUP BY 1""")
 def warnings_rollup(spark, sf):
     files = table(spark, sf, "documents").select(
         "source", "doc_id", F.concat(F.col("lang"), F.col("doc_id").cast("string")).alias("file"),
@@ -172,10 +172,14 @@ def warnings_rollup(spark, sf):
     return pn.warnings_rollup(files, "source", "doc_id")
 
 
-@query("export_json")
+_EXPORTED = ["job_id", "candidate_id", "total_score", "matched", "missing", "strengths", "risks"]
+
+
+@query("export_json", m.chain("O_SCORE", f"SELECT job_id, candidate_id, to_json(struct_pack({', '.join(f'{c} := {c}' for c in _EXPORTED)}))::VARCHAR AS json\n"
+       f"FROM (SELECT *, {m.STRENGTHS_SQL} AS strengths, {m.RISKS_SQL} AS risks FROM o_scored)"))
 def export_json(spark, sf):
     t = m.scored_table(spark, sf)
-    return sinks.as_json(t.select("job_id", "candidate_id", "total_score", "matched", "missing", "strengths", "risks"), "job_id", "candidate_id")
+    return sinks.as_json(t.select(*_EXPORTED), "job_id", "candidate_id")
 
 
 def _stream(spark, sf, deliveries: int):
