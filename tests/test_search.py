@@ -83,8 +83,6 @@ def test_graph_and_vectors_reach_the_score(spark):
     assert found["go programming"] == ("golang", 0.995, True)
     assert found["cobol"] == ("container orchestration", 0.981, True)
     assert (plain.matched, semantic.matched) == (["nlp"], ["cobol", "go programming"])
-    _, found, whole = details(vectors=vectors.where("term <> 'cobol'"))
-    assert found["cobol"] == ("", 0.0, False) and whole["cobol"] == ("", 0.0, False)
     far = vectors.where("term <> 'cobol'").union(spark.createDataFrame([("cobol", [0.5, 0.1]), ("coral", [-0.1, 1.0])], vectors.schema)).where("term <> 'golang'")
     _, found, whole = details(vectors=far)
     assert found["cobol"] == ("", 0.0, False) and whole["cobol"] == ("container orchestration", 0.196, False)
