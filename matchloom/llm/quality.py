@@ -2,7 +2,9 @@
 
 A tokeniser that knows a language needs few tokens for it. Characters per token, the share of byte-fallback tokens and the
 entropy of the token distribution leave their usual band where a text is shouted, stuffed with symbols or repeats itself.
-The bands are those of the whole corpus, per language (or per script where no language is given).
+The bands are those of the whole corpus, per language (or per script where no language is given); those of the entropy,
+which falls with the length of a text, also per power of two of the number of tokens. A text that is off in several
+measures at once is rejected before it leaves one of the bands: the squares of its distances add up.
 """
 
 from __future__ import annotations
@@ -35,9 +37,11 @@ class QualityConfig:
     least_words: int = 20
     most_repeated: int = 30  # percent of words in windows that occur twice
     window: int = 8
-    spread: float = 6.0  # half width of a band, in interquartile ranges on either side of the median
-    usual_tokens: int = 400  # shorter texts get bands wider by the square root of what they lack
-    least_widths: tuple[float, float, float] = (0.1, 0.02, 0.05)  # half widths at least, in the order of MEASURES
+    #: Half widths of the bands below and above the median, in interquartile ranges, in the order of MEASURES. Varied
+    #: wording is no fault, so the entropy has twice the room above.
+    spread: tuple[tuple[float, float], ...] = ((6.0, 6.0), (6.0, 6.0), (4.0, 8.0))
+    usual_tokens: int = 400  # bands without a length class are wider for shorter texts, by the square root of what they lack
+    least_widths: tuple[float, float, float] = (0.1, 0.02, 0.1)  # half widths at least, in the order of MEASURES
     digits: int = 3  # of the measures in the quartiles: exact, the same in every run, and counted over a bounded grid
 
 
@@ -178,25 +182,37 @@ def base_failed(q: str, config: QualityConfig):
     return (words < config.least_words) | (100 * repeated > config.most_repeated * words)
 
 
+def length_class(q: str):
+    """Number of binary digits of the number of tokens."""
+    return F.length(F.bin(F.col(f"{q}.n_tokens")))
+
+
 def bands_of(rows: DataFrame, config: QualityConfig, q: str = "_quality", group: str = "_group") -> DataFrame:
-    """Quartiles of the measures per group, over all rows that pass the base rules."""
-    passed = rows.where(~base_failed(q, config))
-    quartiles = passed.groupBy(group).agg(*[
-        F.percentile(F.round(f"{q}.{m}", config.digits), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(m) for m in MEASURES])
-    return cut(quartiles.select(F.col(group).alias("_band"), *MEASURES))
+    """Quartiles of the measures per group and length class, over all rows that pass the base rules."""
+    passed = rows.where(~base_failed(q, config)).select(F.col(group).alias("_band"), length_class(q).alias("_length"), *[
+        F.round(f"{q}.{m}", config.digits).alias(m) for m in MEASURES])
+
+    def quartiles(*names: str):
+        return [F.percentile(m, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(m) for m in names]
+
+    everywhere = passed.groupBy("_band").agg(*quartiles("chars_per_token", "fallback_share"))
+    return cut(passed.groupBy("_band", "_length").agg(*quartiles("token_entropy")).join(everywhere, "_band"))
 
 
 def judged(rows: DataFrame, bands: DataFrame, config: QualityConfig, q: str = "_quality", group: str = "_group") -> DataFrame:
     """Adds base_failed and kept."""
-    joined = rows.join(bands, F.col(group) == F.col("_band"), "left")
+    joined = rows.join(bands, (F.col(group) == F.col("_band")) & (length_class(q) == F.col("_length")), "left")
 
     short = F.sqrt(F.greatest(F.lit(1.0), F.lit(config.usual_tokens) / F.greatest(F.col(f"{q}.n_tokens"), F.lit(1))))
-    failed, inside = base_failed(q, config), F.lit(True)
-    for m, least in zip(MEASURES, config.least_widths):
+    off = F.lit(0.0)
+    for m, least, (below, above) in zip(MEASURES, config.least_widths, config.spread):
         low, middle, high = (F.col(m)[k] for k in range(3))
-        width = short * F.greatest(config.spread * (high - low), F.lit(least))
-        inside = inside & F.coalesce(F.abs(F.col(f"{q}.{m}") - middle) <= width, F.lit(True))
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & inside).drop("_band", *MEASURES)
+        away = F.col(f"{q}.{m}") - middle
+        width = F.greatest(F.when(away < 0, below).otherwise(above) * (high - low), F.lit(least))
+        width = width if m == "token_entropy" else width * short
+        off = off + F.coalesce(F.pow(away / width, 2), F.lit(0.0))
+    kept = ~base_failed(q, config) & (off <= 1.0)
+    return joined.withColumn("base_failed", base_failed(q, config)).withColumn("kept", kept).drop("_band", "_length", *MEASURES)
 
 
 def quality(docs: DataFrame, path: str, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -204,7 +220,7 @@ def quality(docs: DataFrame, path: str, config: QualityConfig = QualityConfig())
 
     chars_per_token counts code points of words other than ASCII marks. A null text has no words and fails the base
     rules, as an empty one does; a null or blank lang takes the script's band; a text whose group has no row that passes
-    the base rules has no band to leave. Repeated rows are judged alike. Other columns are not read. An empty table
+    the base rules has no band to leave. A very long text is measured whole, in one piece of its task. Repeated rows are judged alike. Other columns are not read. An empty table
     gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
