@@ -10,20 +10,21 @@ question (its n-grams) and its answer (its words) near the passage.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import slices, small_batches, texts
 from matchloom.llm.ngram_join import GOLD, mix, words_of
+from matchloom.session import cut
 
 #: ASCII letters and digits and all bytes above ASCII make words.
 APART = np.array([not (chr(b).isalnum() if b < 128 else True) for b in range(256)])
-HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long"
+HITS = "doc_id long, _item long, score double, question_overlap double, answer_overlap double, passage_start long"
 
 
 @dataclass(frozen=True)
@@ -39,8 +40,21 @@ class LeakConfig:
     shard_bytes: int = 16 << 20  # of item text indexed, and sent to the tasks, at once
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Counts over all test items, as far as the items of one index need them: how many there are, their words, and how
+    many of them hold each of the terms."""
+
+    items: int = 0
+    words: int = 0
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # ascending
+    frequency: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]], config: LeakConfig):
+    """Items to search, by a number of their text. Without `statistics` they are all items that there are."""
+
+    def __init__(self, items: list[tuple[int, str]], config: LeakConfig, statistics: Statistics | None = None):
         self.config = config
         self.ids = np.array([i for i, _ in items], np.int64)
         lowered = pc.utf8_lower(pa.array([t for _, t in items], pa.string()))
@@ -51,9 +65,10 @@ class Index:
         n_items, n_terms = len(items), len(self.terms)
         pair, at, tf = np.unique(term * n_items + owner, return_inverse=True, return_counts=True)
         term, item = pair // n_items, pair % n_items
-        df = np.bincount(term, minlength=n_terms)
-        idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
-        norm = config.k1 * (1 - config.b + config.b * length / max(1.0, length.mean() if n_items else 1.0))
+        total = statistics or Statistics(n_items, int(length.sum()), self.terms, np.bincount(term, minlength=n_terms))
+        df = total.frequency[np.searchsorted(total.terms, self.terms)]
+        idf = np.log(1 + (total.items - df + 0.5) / (df + 0.5))
+        norm = config.k1 * (1 - config.b + config.b * length / max(1.0, total.words / max(1, total.items)))
         impact = idf[term] * tf * (config.k1 + 1) / (tf + norm[item])
         own = np.bincount(item, weights=impact, minlength=n_items)
         long = np.flatnonzero(length > config.passage)
@@ -75,7 +90,7 @@ class Index:
         self.known = np.zeros(1 << 16, bool)
         self.known[(self.terms >> np.uint64(48)).astype(np.int64)] = True
         self.parts = [self._parts(hashes[a:z], t) for a, z, t in zip(bounds[:-1], bounds[1:], lowered.to_pylist())]
-        self.longest = int(length.max(initial=0))
+        self.reach = np.maximum(length, config.passage).tolist()  # words around a passage that may belong to the item
 
     def _parts(self, words: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         """n-grams of the question and words of the answer: the last sentence or line, or the last half of a single one."""
@@ -175,7 +190,7 @@ def leaks(column: pa.Array, index: Index) -> dict[tuple[int, int], tuple[float,
     found: dict[tuple[int, int], tuple[float, float, float, int]] = {}
     for text, start, item, score in zip(*(x.tolist() for x in retrieve(hashes, bounds, index))):
         low, high = int(bounds[text]), int(bounds[text + 1])
-        reach = max(config.passage, index.longest)
+        reach = index.reach[item]
         near = hashes[max(low, start - reach) : min(high, start + config.passage + reach)]
         question, answer, size = index.parts[item]
         q = float(np.isin(question, grams(near, size)).mean()) if len(question) else 1.0
@@ -188,28 +203,62 @@ def leaks(column: pa.Array, index: Index) -> dict[tuple[int, int], tuple[float,
     return found
 
 
-def shards(items: DataFrame, config: LeakConfig) -> Iterator[Index]:
-    """Indexes of parts of the test items, each of a bounded size. A null id or a text without words is left out, and
-    the smallest id stands for items with the same text."""
-    clean = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
-    clean = clean.where(F.lower("text").rlike("[a-z0-9]|[^\\x00-\\x7F]"))
+def numbered(items: DataFrame) -> DataFrame:
+    """The distinct texts of the test items that hold a word, each with a number, `_item`, whatever their ids are."""
+    some = items.select("text").where("text IS NOT NULL").where(F.lower("text").rlike("[a-z0-9]|[^\\x00-\\x7F]"))
+    return cut(some.distinct().withColumn("_item", F.monotonically_increasing_id()))
+
+
+def shards(clean: DataFrame, config: LeakConfig) -> Iterator[Index]:
+    """Indexes of parts of the numbered texts, each of a bounded size. Document frequencies, the number of items and their
+    length are counted over all of them, so that scores do not depend on the parts."""
     total = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // config.shard_bytes))
+    dealt = clean.withColumn("_shard", F.pmod(F.xxhash64("text"), F.lit(n)))
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes, bounds = words_of(pc.utf8_lower(batch.column("text")), APART)
+            shard = batch.column("_shard").to_numpy()
+            rows = []
+            for k in np.unique(shard).tolist():
+                of = [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in np.flatnonzero(shard == k)]
+                found, df = np.unique(np.concatenate(of), return_counts=True)
+                words = int(np.diff(bounds)[shard == k].sum())
+                # The row without a term holds the totals.
+                rows.append(pa.RecordBatch.from_arrays(
+                    [pa.array([k] * (len(found) + 1), pa.int64()), pa.array([None, *found.view(np.int64).tolist()], pa.int64()),
+                     pa.array([len(of), *df.tolist()], pa.int64()), pa.array([words, *[0] * len(found)], pa.int64())],
+                    names=["_shard", "term", "df", "words"]))
+            yield from rows
+
+    counted = dealt.select("text", F.col("_shard").cast("long")).mapInArrow(terms, "_shard long, term long, df long, words long")
+    counted = counted.groupBy("_shard", "term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+    everywhere = Window.partitionBy("term")  # at most a row per shard
+    counted = cut(counted.select("_shard", "term", F.sum("df").over(everywhere).alias("df"), F.sum("words").over(everywhere).alias("words")))
     for k in range(n):
-        rows = clean.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).select("item_id", "text").collect()  # at most about shard_bytes
-        yield Index(sorted((r.item_id, r.text) for r in rows), config)
+        rows = dealt.where(F.col("_shard") == k).select("_item", "text").collect()  # at most about shard_bytes
+        mine = counted.where(F.col("_shard") == k).toArrow()  # no more terms than the shard's texts have words
+        totals, mine = mine.filter(pc.is_null(mine["term"])).to_pylist(), mine.filter(pc.is_valid(mine["term"]))
+        terms_of = mine["term"].to_numpy().view(np.uint64)
+        order = np.argsort(terms_of)
+        known = Statistics(totals[0]["df"], totals[0]["words"], terms_of[order], mine["df"].to_numpy()[order]) if totals else None
+        yield Index(sorted((r._item, r.text) for r in rows), config, known)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
     """One row per document and test item found in it: doc_id, item_id, score (BM25 over that of the item's best passage), question_overlap,
     answer_overlap, passage_start (in words).
 
-    Texts are compared in lower case by runs of letters and digits. A null or empty text holds nothing; repeated rows
-    give repeated results; a null doc_id stays null; other columns are not read; an empty table of documents or items
-    gives an empty result. Items with one text count as the one with the smallest id. No shuffle.
+    Texts are compared in lower case by runs of letters and digits. A null or empty text holds nothing; repeated rows of
+    documents give repeated results; a null doc_id stays null; other columns are not read; an empty table of documents or
+    items gives an empty result. Each text is searched once; a hit is reported for every id that its text has, also the
+    null one, and once for repeated rows of one id. Of passages that show an item equally well the one with the highest
+    score counts, then the first. A very long text is cut into passages in one task. Documents are not shuffled; hits are
+    joined with the ids of the items.
     """
-    out = None
-    for index in shards(items, config):
+    clean, out = numbered(items), None
+    for index in shards(clean, config):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
@@ -223,12 +272,14 @@ def contaminated(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakCon
 
         found = texts(docs).mapInArrow(run, HITS)
         out = found if out is None else out.union(found)
-    return out
+    ids = cut(items.select(F.col("item_id").cast("long"), "text").distinct().join(clean, "text").select("item_id", "_item"))
+    return out.join(ids, "_item").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage_start")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
-    """The rows of `docs`, with all their columns, in which no test item is found. Null and empty texts stay."""
-    for index in shards(items, config):
+    """The rows of `docs`, with all their columns, in which no test item is found, whatever the item's id is, also null. Null
+    and empty texts stay, repeated rows are judged alike, an empty table of items removes nothing. No shuffle of documents."""
+    for index in shards(numbered(items), config):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):

@@ -1,10 +1,13 @@
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers as P
+import sentencepiece
 
 from matchloom.llm import decontaminate, quality, url_filter
 from matchloom.llm.queries import URL_RULES
@@ -78,6 +81,69 @@ def test_leaks_of_long_items(spark):
     assert decontaminate.without_leaks(docs, bench).count() == len(texts) - len(want)
 
 
+def leaks_by_brute_force(texts, items, c):
+    """(text, item) -> score, question and answer overlap, start, in plain Python."""
+    cut_words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    kinds = {t: cut_words(t) for t in items}
+    df = Counter(w for ws in kinds.values() for w in set(ws))
+    mean = sum(map(len, kinds.values())) / len(kinds)
+    impact = {}
+    for t, ws in kinds.items():
+        norm = c.k1 * (1 - c.b + c.b * len(ws) / mean)
+        raw = {w: math.log(1 + (len(kinds) - df[w] + 0.5) / (df[w] + 0.5)) * n * (c.k1 + 1) / (n + norm) for w, n in Counter(ws).items()}
+        best = max(sum(raw[w] for w in set(ws[k : k + c.passage])) for k in range(max(1, len(ws) - c.passage + 1)))
+        impact[t] = {w: v / best for w, v in raw.items()}
+    half, out = c.passage // 2, {}
+    triples = lambda ws, n: {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
+    for i, text in enumerate(texts):
+        words = cut_words(text)
+        for t, ws in kinds.items():
+            tail = t.rstrip(" .!?\n\t")
+            end = max(tail.rfind(x) for x in ".!?\n") + 1
+            n = len(cut_words(t[end:])) if end else len(ws) - len(ws) // 2
+            least = max(c.words, len(ws) // 3)
+            n = min(max(n, 1), len(ws) - least) if len(ws) > least else len(ws)
+            question, answer = ws[:-n] if len(ws) > n else ws, set(ws[len(ws) - n :])
+            size, found = min(c.words, len(question)), []
+            for start in range(0, max(half, len(words) - half) if words else 0, half):
+                score = sum(impact[t].get(w, 0) for w in set(words[start : start + c.passage]))
+                reach = max(c.passage, len(ws))
+                near = words[max(0, start - reach) : start + c.passage + reach]
+                asked = triples(question, size)
+                q, a = len(asked & triples(near, size)) / len(asked), len(answer & set(near)) / len(answer)
+                if score >= c.score and q >= c.question and a >= c.answer:
+                    found.append((q + a, score, -start, q, a))
+            if found:
+                _, score, start, q, a = max(found)
+                out[i, t] = (round(score, 6), round(q, 6), round(a, 6), -start)
+    return out
+
+
+def test_leaks_by_brute_force(spark):
+    r = random.Random(21)
+    vocabulary = [f"w{int(r.paretovariate(0.6))}" for _ in range(3000)]
+    say = lambda n: " ".join(r.choices(vocabulary, k=n))
+    items = [(i, f"{say(r.randint(6, 90))}? {say(r.randint(1, 9))}.") for i in range(40)]
+    named = items + [(100, items[0][1]), (101, items[1][1]), (None, items[1][1]), (None, items[2][1]), items[3], (102, "only a name"), (103, "")]
+    named = [x for x in named if x != items[2]]  # its text has no other id than null
+    texts = []
+    for i, (_, t) in enumerate(items):
+        words = t.split()
+        lost = {k for k in range(len(words)) if r.random() < (i % 4) / 6}
+        texts.append(f"{say(r.randint(0, 150))} {' '.join(w for k, w in enumerate(words) if k not in lost)} {say(r.randint(0, 150))}")
+    texts += [say(r.randint(1, 400)) for _ in range(15)] + ["", "w1", say(20_000)]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)] + [(None, None, 7)], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame(named, "item_id long, text string").repartition(3)
+    want = {(i, n): v for (i, t), v in leaks_by_brute_force(texts, {t for _, t in named if t}, decontaminate.LeakConfig()).items() for n, u in named if u == t}
+    assert {(0, 0), (0, 100), (1, 1), (1, 101), (1, None), (2, None)} <= set(want) and 10 < len({i for i, _ in want}) < len(texts)
+    for size in (1 << 20, 900):  # scores do not depend on how the items are dealt
+        rows = decontaminate.contaminated(docs, bench, decontaminate.LeakConfig(shard_bytes=size)).collect()
+        got = {(x.doc_id, x.item_id): (round(x.score, 6), round(x.question_overlap, 6), round(x.answer_overlap, 6), x.passage_start) for x in rows}
+        assert got == want and len(rows) == len(want)
+    kept = {x.doc_id for x in decontaminate.without_leaks(docs, bench, decontaminate.LeakConfig(shard_bytes=900)).collect()}
+    assert kept == {None, *range(len(texts))} - {i for i, _ in want}
+
+
 def test_best_passage_of_an_item():
     r = random.Random(9)
     items = [(i, " ".join(f"w{r.randint(0, 99)}" for _ in range(n))) for i, n in enumerate([1, 7, 8, 9, 30, 200])]
@@ -113,6 +179,47 @@ def test_block_bounds_lose_no_item():
     assert got == want and want
 
 
+def test_kept_by_brute_force(spark):
+    r = random.Random(12)
+    words = ["river", "mountain", "the", "of", "quiet", "morning", "walk", "between", "people", "señor", "mañana", "über", "straße", "цвет", "中文", "x1"]
+    say = lambda n: " ".join(r.choice(words) + r.choice(["", "", "", ",", "."]) for _ in range(n))
+    texts = [say(r.randint(15, 400)) for _ in range(150)] + ["QZXK " * r.randint(15, 25) + say(60) for _ in range(6)]
+    texts += [" ".join(w for w in r.choices(words, k=12) for _ in range(6)) for _ in range(6)] + [say(20_000), "", "   "]
+    texts += [" | ".join("".join(r.choice("aeiouñzqxkj") for _ in range(7)) for _ in range(60)) for _ in range(6)]
+    rows = [(i, t, ["en", "de"][i % 2], "clash") for i, t in enumerate(texts)] + [(900, None, "en", ""), (0, texts[0], "en", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
+    model, config = sentencepiece.SentencePieceProcessor(model_file=PIECES), quality.QualityConfig()
+    seen = []
+    for _, text, lang, _ in rows:
+        found = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        ids = [i for w in (text or "").split() for i in model.encode(w)]
+        n, counts = len(ids), Counter(ids).values()
+        spoken = sum(not (33 <= ord(c) < 127 and not c.isalnum()) for w in found for c in w)
+        windows = Counter(tuple(found[i : i + 8]) for i in range(len(found) - 7))
+        twice = {j for i in range(len(found) - 7) if windows[tuple(found[i : i + 8])] > 1 for j in range(i, i + 8)}
+        entropy = -sum(c / n * math.log2(c / n) for c in counts) / math.log2(n) if n > 1 else 0.0
+        seen.append((n, (spoken / n if n else 0.0, sum(map(model.is_byte, ids)) / n if n else 0.0, entropy),
+                     (lang, n.bit_length() or 1), len(found) < 20 or 100 * len(twice) > 30 * len(found)))
+    rounded = lambda x: math.floor(x * 1000 + 0.5) / 1000
+    kept = []
+    for n, values, (lang, size), failed in seen:
+        off = 0.0
+        for k, (value, least, sides) in enumerate(zip(values, config.least_widths, config.spread)):
+            peers = [rounded(v[k]) for _, v, (la, sz), f in seen if not f and la == lang and (k < 2 or sz == size)]
+            if not failed:
+                low, middle, high = np.percentile(peers, [25, 50, 75])
+                width = max(sides[int(value >= middle)] * (high - low), least) * (math.sqrt(max(1, 400 / n)) if k < 2 else 1)
+                off += ((value - middle) / width) ** 2
+        kept.append(not failed and off <= 1)
+    got = quality.quality(docs, PIECES).collect()
+    key = lambda i, n, c, f, e, b, k: (i, n, round(c, 9), round(f, 9), round(e, 9), b, k)
+    assert sorted(key(x.doc_id, x.n_tokens, x.chars_per_token, x.fallback_share, x.token_entropy, x.base_failed, x.kept) for x in got) == sorted(
+        key(i, n, *v, f, k) for (i, _, _, _), (n, v, _, f), k in zip(rows, seen, kept))
+    assert 0 < sum(kept) < sum(not f for *_, f in seen)
+    good = quality.good_documents(docs, PIECES)
+    assert good.columns == docs.columns and sorted(x.doc_id for x in good.collect()) == sorted(i for (i, *_), k in zip(rows, kept) if k)
+
+
 def fitting(host, path, rules):
     found = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(found)[3:] if found else (None, "allow")
