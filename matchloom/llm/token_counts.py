@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -42,7 +44,11 @@ class PrefixCounter:
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab = model["vocab"]
-        self.longest = max(map(len, self.vocab))
+        self.reach = {"": {}, self.end: {}}  # by the last symbol of a word: symbols of the longest token that ends there
+        for token in self.vocab:
+            end = self.end if self.end and token.endswith(self.end) and token != self.end else ""
+            body = token[: len(token) - len(end)]
+            self.reach[end][body[-1:]] = max(self.reach[end].get(body[-1:], 0), len(body))
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.made = {a + b: (rank, a, b) for (a, b), rank in self.ranks.items()}  # each token has one last merge
@@ -112,11 +118,13 @@ class PrefixCounter:
     def _step(self, table: PrefixTable, j: int, end: str) -> tuple[str | None, int]:
         """Last token and count of the prefix of j symbols, given all shorter open prefixes."""
         symbols, last, count, vocab, known = table.symbols, table.last, table.count, self.vocab, self.joins.get
-        part = symbols[:j] + end
-        if part in vocab and self._stands(part):
-            return part, 1
-        for i in range(max(1, j - self.longest), j):
-            token = part[i:]
+        longest = self.reach[end].get(symbols[j - 1], 0)
+        if j <= longest:
+            part = symbols[:j] + end
+            if part in vocab and self._stands(part):
+                return part, 1
+        for i in range(max(1, j - longest), j):
+            token = symbols[i:j] + end
             if token in vocab:
                 before = last[i]
                 ok = known((before, token))
@@ -181,16 +189,78 @@ class PrefixCounter:
         return out + [before] * (len(text) - at)
 
     def _inside(self, chunk: str) -> list[int]:
-        """Counts of every prefix of a chunk. The tables of its pieces answer all of them; only a prefix that ends in a
-        sequence whose normal form changes with the next character is looked at on its own."""
-        if chunk.isascii() and "'" not in chunk and "<|" not in chunk and chunk.isprintable():
-            out, before = [], 0
-            for piece in self._split(chunk):
-                table = self.table(piece)
-                out += [before + self.close(table, j) for j in range(1, len(piece) + 1)]
-                before = out[-1]
-            return out
-        return [self._chunk(chunk[:j]) for j in range(1, len(chunk) + 1)]
+        """Counts of every prefix of a chunk: up to a special string, through it as far as it is cut, and behind it."""
+        found = self.split_specials.finditer(chunk) if self.split_specials is not None and "<|" in chunk else ()
+        out, before, at = [], 0, 0
+        for m in found:
+            out += [before + n for n in self._tables(chunk[at : m.end()])[:-1]]
+            before += self._plain(chunk[at : m.start()]) + 1
+            out.append(before)
+            at = m.end()
+        return out + [before + n for n in self._tables(chunk[at:])]
+
+    def _tables(self, chunk: str) -> list[int]:
+        """Counts of every prefix of a chunk in which nothing is special, in a time linear in its length.
+
+        The normal form of a prefix is that of its whole segments, which does not change with what follows, and that of a
+        rest of a few code points. Pieces that end well before the rest are those of the whole chunk, and the prefix table
+        of the piece that the rest falls into answers for the part of it that stands.
+        """
+        starts = [k for k, c in enumerate(chunk) if not k or not self._composes(c)]
+        normal = [self.normalize(chunk[a:z]) for a, z in zip(starts, [*starts[1:], len(chunk)])]
+        whole, ends = "".join(normal), [0, *accumulate(map(len, normal))]
+        if whole != self.normalize(chunk):  # not known to happen; the plain way is right for every vocabulary
+            return [self._plain(chunk[:j]) for j in range(1, len(chunk) + 1)]
+        pieces = self.pieces(whole)
+        begins = [0, *accumulate(map(len, pieces))]
+        totals = [0, *accumulate(self.words[self._bytes(p)] for p in pieces)]
+        known: tuple = (-1, None, None)
+        out = []
+        for j in range(1, len(chunk) + 1):
+            segment = bisect_left(starts, j) - 1
+            stable, rest = ends[segment], self.normalize(chunk[starts[segment] : j])
+            k = max(0, bisect_right(begins, stable - 3) - 1)  # an apostrophe needs three more to be told
+            if k >= len(pieces):
+                k = len(pieces) - 1
+            if begins[k + 1] < stable:
+                out.append(totals[k + 1] + self._sum(whole[begins[k + 1] : stable] + rest))
+            elif stable - begins[k] <= 3:
+                out.append(totals[k] + self._sum(whole[begins[k] : stable] + rest))
+            else:
+                if known[0] != k:  # symbols up to each code point of the piece, and its table
+                    known = (k, [0, *accumulate(len(c.encode()) for c in pieces[k])], self.table(self._bytes(pieces[k])))
+                _, symbols, table = known
+                first, *others = self.pieces(("x" if pieces[k][-1].isalpha() else "!") + rest)
+                n = totals[k] + self._extended(table, symbols[stable - begins[k]], self._bytes(first[1:]))
+                out.append(n + sum(self.words[self._bytes(p)] for p in others))
+        return out
+
+    def _bytes(self, piece: str) -> str:
+        letters = self.letters
+        return piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode()])
+
+    def _sum(self, normal: str) -> int:
+        return sum(self.words[self._bytes(p)] for p in self.pieces(normal))
+
+    def _extended(self, table: PrefixTable, j: int, more: str) -> int:
+        """Tokens of the word of the first j symbols of a table and some more."""
+        if table.symbols.startswith(more, j):
+            return self.close(table, j + len(more))
+        longer = PrefixTable(table.symbols[:j] + more, table.last[: j + 1], table.count[: j + 1])
+        if len(table.last) <= j:  # the table of a whole word stops before its last symbol
+            longer.last, longer.count = table.last[:j], table.count[:j]
+        for n in range(len(longer.last), len(longer.symbols)):
+            token, count = self._step(longer, n, "")
+            longer.last.append(token)
+            longer.count.append(count)
+        return self.close(longer, len(longer.symbols))
+
+    def _composes(self, c: str) -> bool:
+        """Whether a code point may join or move before what stands before it in normal form C."""
+        if c.isascii():
+            return False
+        first = unicodedata.normalize("NFD", c)[0]
+        return unicodedata.combining(first) != 0 or "\u1160" <= first <= "\u11ff" or first in second_parts()
 
     def fit(self, text: str, budget: int) -> int:
         """Code points of the longest prefix with at most `budget` tokens."""
@@ -206,6 +276,13 @@ class PrefixCounter:
         return len(text)
 
 
+@lru_cache(maxsize=1)
+def second_parts() -> frozenset[str]:
+    """Last code points of all canonical decompositions."""
+    parts = (unicodedata.decomposition(chr(c)) for c in range(0xA0, 0x30000))
+    return frozenset(chr(int(p.split()[-1], 16)) for p in parts if " " in p and not p.startswith("<"))
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
@@ -216,7 +293,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     longest prefix within the limit.
 
     A null text counts as empty: no bytes, no tokens, nothing over. A null doc_id stays null, repeated rows stay rows,
-    other columns are not read, an empty table gives an empty result. No shuffle; a task holds 512 texts at a time.
+    other columns are not read, an empty table gives an empty result. A very long text costs time and memory in proportion
+    to its length, with or without white space; only a run of combining marks costs the square of its own. No shuffle; a
+    task holds 512 texts at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

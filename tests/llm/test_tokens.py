@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -37,6 +39,24 @@ def test_every_prefix():
             assert counter.fit(text, budget) == max(n for n, c in enumerate(counts) if c <= budget)
 
 
+def test_prefixes_of_unspaced_texts():
+    counter = token_counts.counter(WORD)
+    r = random.Random(5)
+    groups = ["中文数据処理語", "ประเทศไทย", "한국어각힣", "é́́", "don't'll!'re've", "aé1２½ßİΣς", "<|endoftext|>", "<|start", "\x07\x01", "क्षि", "ÅÅå"]
+    for _ in range(250):
+        text = "".join(r.choice(g) if r.random() < 0.7 else g for g in r.choices(groups, k=r.randint(1, 14)))
+        assert counter.prefix_counts(text) == [len(ids_of(text[:n])) for n in range(len(text) + 1)], text
+
+
+@pytest.mark.parametrize("text", ["中文数据处理" * 17_000, "ประเทศไทย" * 11_200, "don't" * 20_000, "é́" * 50_000, "pneumono" * 12_500], ids=["cjk", "thai", "apostrophe", "marks", "word"])
+def test_budget_of_long_unspaced_texts(text):
+    counter = token_counts.counter(WORD)
+    started = time.time()
+    n = counter.fit(text, 2048)
+    assert time.time() - started < 20
+    assert len(ids_of(text[:n])) <= 2048 < min(len(ids_of(text[: n + k])) for k in (1, 2, 3, 50)) and len(ids_of(text)) == counter.count(text)
+
+
 def test_byte_pairs(spark):
     with open(MULTI, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
