@@ -52,3 +52,29 @@ def test_ways_agree_on_weights_and_best_matches(tables, monkeypatch, most_pairs,
     got = scoring.best_hits(c, pairs, 0.65).selectExpr("candidate_id", "inline(skill_best)")
     want = scoring.best_matches(c.terms, pairs, 0.65).where("skill IS NOT NULL").selectExpr("candidate_id", "query", "-skill.n AS sim", "skill.term AS term")
     assert rows(got, *got.columns) == rows(want, *got.columns)
+
+
+def test_a_report_of_vocabularies_makes_nothing_else(spark, monkeypatch):
+    from matchloom.operators import evidence as ev
+    from matchloom.sources import views
+    from matchloom.plans.catalog import tenure as ct
+
+    folder = "/root/testdata/sf0.001"
+    made = scoring.build_profiles(views.jobs(spark, folder), views.candidates(spark, folder), ct.entries(spark, folder), ratio=False)
+    with monkeypatch.context() as m:
+        m.setattr(ev, "skill_evidence", None)
+        m.setattr(scoring, "candidate_terms", None)
+        m.setattr(scoring, "candidate_profiles", None)
+        alone = [rows(w, "term") for w in made.words]
+    del made.words
+    assert made._domain.count() and "_domain" in made.__dict__
+    assert alone == [rows(w, "term") for w in made.words]
+
+
+def test_mentions_are_in_order_of_source_entry_list_and_place(spark):
+    from matchloom.operators import evidence as ev
+    from pyspark.sql import functions as F
+
+    places = [(0, 0, 0, 2), (2, 0, 0, 0), (3, 0, 1, 5), (3, 1, 0, 0), (3, 1, 1, 0), (3, 2**31 - 1, 1, 7), (4, 0, 0, 0)]
+    got = [spark.range(1).select(ev._order(s, F.lit(p), k, F.lit(i)).alias("o")).first().o for s, p, k, i in places]
+    assert got == sorted(set(got))
