@@ -82,7 +82,7 @@ def resume_skills(parts: Column, text: Column) -> Column:
 def tool_chunks(lines: Column) -> Column:
     """After each line that names tools: what follows its colon, and the line below."""
     hits = F.flatten(F.transform(lines, lambda x, i: F.when(
-        tx.contains_any(F.lower(x), fv.TOOL_MARKERS),
+        tx.let(F.lower(x), lambda low: tx.contains_any(low, fv.TOOL_MARKERS)),
         F.array_compact(F.array(
             F.when(x.contains(":"), F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1)), F.get(lines, i + 1))),
     ).otherwise(tx.strings([]))))

@@ -20,29 +20,29 @@ def section_marker(line: Column) -> Column:
 
 
 def is_contact(line: Column) -> Column:
-    return tx.contains_any(F.lower(line), fv.CONTACT_HINTS) | line.rlike(tx.UNICODE + r"\b[A-Z][a-z]+ [A-Z][a-z]+\b")
+    return tx.let(F.lower(line), lambda low: tx.contains_any(low, fv.CONTACT_HINTS)) | line.rlike(tx.UNICODE + r"\b[A-Z][a-z]+ [A-Z][a-z]+\b")
 
 
 def is_link(line: Column) -> Column:
-    return tx.contains_any(F.lower(line), fv.LINK_HINTS)
+    return tx.let(F.lower(line), lambda low: tx.contains_any(low, fv.LINK_HINTS))
 
 
 def annotate(text: Column | str) -> Column:
     """Lines with a marker line before each section. The state (current marker, header seen) runs down the lines."""
 
     def run(lines: Column) -> Column:
-        items = F.transform(lines, lambda x: F.struct(
-            x.alias("line"), section_marker(x).alias("marker"), is_link(x).alias("link"), is_contact(x).alias("contact")))
+        items = F.transform(lines, lambda x: F.struct(x.alias("line"), section_marker(x).alias("marker")))
 
         def step(s: Column, x: Column) -> Column:
-            link = x["link"] & (s["cur"] != "[LINKS]")
-            contact = ~s["seen"] & (s["cur"] != "[CONTACT_INFO]") & x["contact"]
+            # links and contact data are only looked for where they could open a section
+            link = (s["cur"] != "[LINKS]") & is_link(x["line"])
+            contact = ~s["seen"] & (s["cur"] != "[CONTACT_INFO]") & is_contact(x["line"])
             header = x["marker"] != ""
             opened = F.when(header, x["marker"]).when(link, "[LINKS]").when(contact, "[CONTACT_INFO]").otherwise(s["cur"])
-            mark = F.when(opened != s["cur"], F.array(opened)).otherwise(tx.strings([]))
             body = F.when(header, tx.strings([])).otherwise(F.array(x["line"]))
-            return F.struct(
-                F.concat(s["out"], mark, body).alias("out"), opened.alias("cur"), (s["seen"] | header).alias("seen"))
+            return tx.let(opened, lambda o: F.struct(
+                F.concat(s["out"], F.when(o != s["cur"], F.array(o)).otherwise(tx.strings([])), body).alias("out"),
+                o.alias("cur"), (s["seen"] | header).alias("seen")))
 
         first = F.exists(F.slice(lines, 1, 4), is_contact)
         start = F.struct(
@@ -63,17 +63,13 @@ def sectioned(annotated: Column) -> Column:
 
         places = F.filter(F.transform(a, lambda x, i: F.when(head(x), i)), lambda i: i.isNotNull())
 
-        def place(p: Column) -> Column:
-            return F.filter(
-                F.transform(a, lambda x, i: F.struct(
-                    F.coalesce(
-                        tx.let(F.get(a, F.array_max(F.filter(p, lambda k: k <= i))), lambda m: F.substring(m, 2, F.length(m) - 2)),
-                        F.lit("CONTACT_INFO")).alias("section"),
-                    x.alias("line"))),
-                lambda r: ~head(r["line"]),
-            )
-
-        return tx.let(places, place)
+        def part(p: Column, k: Column, n: Column) -> Column:
+            """The lines between a header (-1: the start of the text) and the next one."""
+            name = F.when(k < 0, "CONTACT_INFO").otherwise(F.substring(F.get(a, k), 2, F.length(F.get(a, k)) - 2))
+            below = F.slice(a, k + 2, F.coalesce(F.get(p, n + 1), F.size(a)) - k - 1)
+            return tx.let(name, lambda s: F.transform(below, lambda x: F.struct(s.alias("section"), x.alias("line"))))
+
+        return tx.let(F.concat(F.array(F.lit(-1)), places), lambda p: F.flatten(F.transform(p, lambda k, n: part(p, k, n))))
 
     return tx.let(annotated, run)
 

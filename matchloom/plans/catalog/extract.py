@@ -60,7 +60,9 @@ def line_class(spark, sf):
 
 @query("annotate_sections", rec(select="SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM x_rows GROUP BY doc_id"))
 def annotate_sections(spark, sf):
-    return views.resume_text(spark, sf).select("doc_id", F.array_join(se.annotate("text"), "\n").alias("text")).where("text <> ''")
+    # a text without any character but white space has no lines; judging the result would make it twice
+    some = views.resume_text(spark, sf).where(F.col("text").rlike(f"(?!{fv.WHITESPACE})[\\s\\S]"))
+    return some.select("doc_id", F.array_join(se.annotate("text"), "\n").alias("text"))
 
 
 @query("section_lines", rec(select="SELECT doc_id, section, lines FROM x_sec"))
@@ -208,7 +210,7 @@ EXPERIENCE = EXPERIENCE.replace("flatten(list_transform(highlights, lambda hl: "
 
 @query("experience_islands", rec(EXPERIENCE, select="SELECT * FROM x_entries"))
 def experience_islands(spark, sf):
-    rows = resumes(spark, sf).select("doc_id", F.posexplode("experience_entries").alias("i", "e"))
+    rows = resumes(spark, sf).select("doc_id", F.posexplode_outer("experience_entries").alias("i", "e")).where("e IS NOT NULL")  # without outer, entries are made twice
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("entry"), "e.title", "e.company", "e.start_date", "e.end_date", "e.highlights", "e.skills_used")
 
 
@@ -224,7 +226,7 @@ EDU = f"""x_edu AS (SELECT doc_id, CAST(i AS BIGINT) AS i, coalesce(p[1], line)
 
 @query("education_lines", rec(EDU, select="SELECT * FROM x_edu"))
 def education_lines(spark, sf):
-    rows = resumes(spark, sf).select("doc_id", F.posexplode("education_entries").alias("i", "e"))
+    rows = resumes(spark, sf).select("doc_id", F.posexplode_outer("education_entries").alias("i", "e")).where("e IS NOT NULL")
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "e.degree", "e.institution", "e.graduation_date")
 
 
