@@ -15,7 +15,7 @@ def stripped_lines(text: Column | str) -> Column:
 
 def section_marker(line: Column) -> Column:
     aliases = {a: marker for marker, names in fv.SECTION_ALIASES.items() for a in names}
-    plain = F.trim(F.regexp_replace(F.lower(line), "[^a-z ]", ""))
+    plain = F.trim(F.regexp_replace(F.lower(line), "[^abcdefghijklmnopqrstuvwxyz ]++", ""))
     return F.coalesce(F.element_at(tx.literal_map(aliases), plain), F.lit(""))
 
 
@@ -28,30 +28,46 @@ def is_link(line: Column) -> Column:
 
 
 def annotate(text: Column | str) -> Column:
-    """Lines with a marker line before each section. The state (current marker, header seen) runs down the lines."""
-
-    def run(lines: Column) -> Column:
-        items = F.transform(lines, lambda x: F.struct(x.alias("line"), section_marker(x).alias("marker")))
-
-        def step(s: Column, x: Column) -> Column:
-            # links and contact data are only looked for where they could open a section
-            link = (s["cur"] != "[LINKS]") & is_link(x["line"])
-            contact = ~s["seen"] & (s["cur"] != "[CONTACT_INFO]") & is_contact(x["line"])
-            header = x["marker"] != ""
-            opened = F.when(header, x["marker"]).when(link, "[LINKS]").when(contact, "[CONTACT_INFO]").otherwise(s["cur"])
-            body = F.when(header, tx.strings([])).otherwise(F.array(x["line"]))
-            return tx.let(opened, lambda o: F.struct(
-                F.concat(s["out"], F.when(o != s["cur"], F.array(o)).otherwise(tx.strings([])), body).alias("out"),
-                o.alias("cur"), (s["seen"] | header).alias("seen")))
-
-        first = F.exists(F.slice(lines, 1, 4), is_contact)
-        start = F.struct(
-            F.when(first, F.array(F.lit("[CONTACT_INFO]"))).otherwise(tx.strings([])).alias("out"),
-            F.when(first, "[CONTACT_INFO]").otherwise("").alias("cur"), F.lit(False).alias("seen"),
-        ).cast("struct<out: array<string>, cur: string, seen: boolean>")
-        return F.aggregate(items, start, step, lambda s: s["out"])
-
-    return tx.let(stripped_lines(text), run)
+    """Lines with a marker line before each section.
+
+    Only headers, links and contact lines can open a section, so the state (the current marker) runs down these alone; the
+    lines between two openings are then taken as one piece.
+    """
+
+    def run(items: Column) -> Column:
+        header = F.filter(F.transform(items, lambda x, i: F.when(x["marker"] != "", i)), lambda i: i.isNotNull())
+        return tx.let(F.coalesce(F.get(header, F.lit(0)), F.size(items)), lambda first_header: openings(items, first_header))
+
+    def openings(items: Column, first_header: Column) -> Column:
+        """Contact data opens a section before the first header only."""
+        plain = lambda x: x["marker"] == ""
+        events = F.filter(
+            F.transform(items, lambda x, i: F.struct(
+                i.alias("i"), x["marker"].alias("marker"), (plain(x) & is_link(x["line"])).alias("link"),
+                ((i < first_header) & is_contact(x["line"])).alias("contact"))),
+            lambda e: ~plain(e) | e["link"] | e["contact"])
+
+        def step(s: Column, e: Column) -> Column:
+            opened = (
+                F.when(~plain(e), e["marker"]).when(e["link"] & (s["cur"] != "[LINKS]"), "[LINKS]")
+                .when(e["contact"] & (s["cur"] != "[CONTACT_INFO]"), "[CONTACT_INFO]").otherwise(s["cur"])
+            )
+            return tx.let(opened, lambda o: F.when(o == s["cur"], s).otherwise(F.struct(
+                F.concat(s["out"], F.array(F.struct(e["i"].alias("i"), o.alias("marker")))).alias("out"), o.alias("cur"))))
+
+        first = F.when(F.exists(F.slice(items, 1, 4), lambda x: is_contact(x["line"])), "[CONTACT_INFO]").otherwise("")
+        start = tx.let(first, lambda o: F.struct(F.array(F.struct(F.lit(0).alias("i"), o.alias("marker"))).alias("out"), o.alias("cur")))
+        return tx.let(F.aggregate(events, start, step, lambda s: s["out"]), lambda opens: pieces(items, opens))
+
+    def pieces(items: Column, opens: Column) -> Column:
+        def piece(o: Column, n: Column) -> Column:
+            below = F.slice(items, o["i"] + 1, F.coalesce(F.get(opens, n + 1)["i"], F.size(items)) - o["i"])
+            body = F.transform(F.filter(below, lambda x: x["marker"] == ""), lambda x: x["line"])
+            return F.when(o["marker"] == "", body).otherwise(F.concat(F.array(o["marker"]), body))
+
+        return F.flatten(F.transform(opens, piece))
+
+    return tx.let(F.transform(stripped_lines(text), lambda x: F.struct(x.alias("line"), section_marker(x).alias("marker"))), run)
 
 
 def sectioned(annotated: Column) -> Column:

@@ -33,3 +33,17 @@ def test_word_limit(spark):
     rows = spark.createDataFrame([("",), ("a",), ("a b",), ("a b c",), ("a  c",)], "t string")
     for n in (1, 2, 3):
         assert rows.where(tx.at_most(F.col("t"), n) != (tx.n_words(F.col("t")) <= n)).count() == 0
+
+
+def test_lines_of_every_character(spark):
+    ws = fv.WHITESPACE
+    rows = every_character(spark)
+    assert rows.where(tx.strip_space(F.col("t")) != F.regexp_replace("t", f"^{ws}+|{ws}+$", "")).count() == 0
+    assert rows.where(tx.lines_of("t") != F.split("t", fv.LINE_BREAK)).count() == 0
+
+
+def test_contains_any_leaves_out_what_a_shorter_needle_finds(spark):
+    rows = spark.createDataFrame([("my toolbox",), ("tech stack",), ("none",)], "t string")
+    hit = tx.contains_any(F.col("t"), fv.TOOL_MARKERS)
+    assert [r[0] for r in rows.select(hit).collect()] == [any(m in t for m in fv.TOOL_MARKERS) for t in ("my toolbox", "tech stack", "none")]
+    assert str(hit._jc).count("contains") < len(fv.TOOL_MARKERS)
