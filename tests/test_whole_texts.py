@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as fv
-from matchloom.functions import text as tx
+from matchloom.functions import scores as sc, text as tx
 
 
 def every_character(spark):
@@ -47,3 +47,14 @@ def test_contains_any_leaves_out_what_a_shorter_needle_finds(spark):
     hit = tx.contains_any(F.col("t"), fv.TOOL_MARKERS)
     assert [r[0] for r in rows.select(hit).collect()] == [any(m in t for m in fv.TOOL_MARKERS) for t in ("my toolbox", "tech stack", "none")]
     assert str(hit._jc).count("contains") < len(fv.TOOL_MARKERS)
+
+
+def test_first_words_and_caps_are_made_once(spark):
+    docs = spark.createDataFrame([("Owned  the roadmap",), (" Worked on it",), ("",), ("x" * 300,), (None,)], "t string")
+    kind, capped = sc.ownership_kind(F.col("t")), tx.compact("t")
+    got = docs.select("t", kind.alias("k"), capped.alias("c")).collect()
+    assert [r.c for r in got] == ["Owned the roadmap", "Worked on it", "", "x" * 237 + "...", ""]
+    own = [any((r.t or "").strip().lower().split(" ")[0].rstrip("ed,.:;").startswith(v) for v in fv.OWNERSHIP_VERBS) for r in got]
+    assert [r.k == "own" for r in got] == own
+    plan = docs.select(kind.alias("k"), capped.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_replace(") == 1
