@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +50,21 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def many(self, keys: Collection, make_all: Callable[[list], Iterable] | None = None) -> dict:
+        """The values of distinct keys. Those not remembered are made by one call for all of them."""
+        found = dict(zip(keys, map(self.get, keys)))
+        lost = [key for key, value in found.items() if value is None]
+        found.update(zip(lost, map(self.old.get, lost)))
+        new = [key for key in lost if found[key] is None]
+        found.update(zip(new, make_all(new) if make_all else map(self.make, new)))
+        for key in lost:
+            if len(key) <= self.longest:
+                if len(self) >= self.bound:
+                    self.old = dict(self)
+                    self.clear()
+                self[key] = found[key]
+        return found
+
 
 @dataclass(frozen=True)
 class Folder:

@@ -116,3 +116,44 @@ def test_files_are_read_in_many_tasks(spark):
     assert files.count() > 4
     back = token_file.read_ids(files)
     assert back.count() == 3000 and back.selectExpr("spark_partition_id() AS task").distinct().count() == files.count()
+
+
+def test_new_words_of_many_texts_are_encoded_together():
+    """One call of the library for each word was most of the time of op6_token_file."""
+    coder = token_file.Encoder(WORD)
+    calls = []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **more):
+            calls.append(len(texts))
+            return self.tokenizer.encode_batch_fast(texts, **more)
+
+    coder.tokenizer, coder.plain = Counted(coder.tokenizer), Counted(coder.plain)
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abcdeéüß", k=9)) for _ in range(100)) for _ in range(50)]
+    end = np.array([2], "<u4").tobytes()
+    assert coder.texts(texts, end) == [np.array(ids_of(text) + [2], "<u4").tobytes() for text in texts]
+    assert len(calls) <= 2 and sum(calls) < 100
+
+
+def test_marks_case_and_special_strings():
+    coder = token_file.Encoder(WORD)
+    r = random.Random(4)
+    parts = ["Don't", "x's,", "e.g.", "'S", "'", "!?", "...", "Ab", "É", "ÿ", "ß;", "µ", "ª", "×", "Σ", "ΑΣ", "İ", "ﬁ", "=", "\u0338", "\u0301", "1", "½", "-", "_",
+             "<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext |>", "<|", "|>", "\x1c", "\x01", "\n", " ", " ", " ", "\u3000", "\x85", "\xa0", "中", "z" * 70, "Q" * 65 + "."]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 9))) for _ in range(6000)]
+    for low in range(0, len(texts), 500):
+        some = texts[low : low + 500]
+        for text, ids in zip(some, coder.texts(some, b"")):
+            assert np.frombuffer(ids, "<u4").tolist() == ids_of(text), text
+
+
+def test_texts_when_the_memory_of_chunks_is_small():
+    coder = token_file.Encoder(WORD)
+    coder.memo.bound = 7
+    texts = odd_texts(60, 8)
+    for _ in range(2):
+        assert coder.texts([text or "" for text in texts], b"") == [np.array(ids_of(text), "<u4").tobytes() for text in texts]
